@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_toxicity import toxicity
 from .op2_quality_rules import quality_rules
 from .op3_bpe import round_trip
+from .op6_suffix_dedup import repeats_digest
+from .op7_fingerprints import fingerprints
 from .op9_sharding import shard_digest
 
 
@@ -28,12 +30,20 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(_read(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_bpe, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_bpe, op6_suffix_dedup, op7_fingerprints, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
