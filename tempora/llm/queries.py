@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op10_ngram_join import ngram_components
 from .op1_toxicity import toxicity
 from .op2_quality_rules import quality_rules
 from .op3_bpe import round_trip
@@ -42,8 +43,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(_read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_bpe, op6_suffix_dedup, op7_fingerprints, op9_sharding)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_bpe, op6_suffix_dedup, op7_fingerprints, op9_sharding, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
