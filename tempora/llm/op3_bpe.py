@@ -8,9 +8,11 @@ match of the pattern separately. Decoding looks each id up in the byte table, so
 are split over tokens come back when their bytes meet; ``decode_text`` joins bytes first and
 replaces only what is no UTF-8 in the end.
 
-Edge cases. A null text is encoded as an empty one (no ids). Very long texts are cut, for memory
-only, between an ASCII letter and a space before another letter, where every pattern match ends
-anyway, so ids are those of the whole text. Repeated rows are encoded each on its own row; an empty
+White space after a character that is none always begins a match of the usual pattern, and so does ASCII
+punctuation after an ASCII letter, so texts fall into pieces there whose ids do not depend on what is around; a worker encodes each different piece once. With another
+pattern the piece is the whole text.
+
+Edge cases. A null text is encoded as an empty one (no ids). Repeated rows are encoded each on its own row; an empty
 table gives an empty result; other columns pass through ``encode`` untouched, and a clash with its
 output column raises.
 """
@@ -20,9 +22,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,8 @@ from pyspark.sql import DataFrame
 
 from . import textkern as K
 
-#: Characters that the library gets at once.
-PIECE_CHARS = 1 << 18
-_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: Pieces whose ids a worker remembers; beyond them it starts anew.
+MAX_KNOWN = 800_000
 
 
 def default_ranks() -> str:
@@ -74,10 +75,13 @@ class Codec:
         model = models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=200_000)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.cuts = pattern == default_pattern()
+        self._forget()
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.token_bytes[rank] = token
         self._bytes = pa.array(self.token_bytes, pa.large_binary())
+        self._width = np.array([len(t) for t in self.token_bytes])
         self._decimal = pa.array([f" {i}".encode() for i in range(len(self.token_bytes))], pa.large_binary())
 
     @staticmethod
@@ -88,26 +92,53 @@ class Codec:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts[0], parts[1]
 
-    def _pieces(self, text: str) -> list[str]:
-        if len(text) <= PIECE_CHARS:
-            return [text]
-        cuts, at = [0], PIECE_CHARS
-        while at < len(text) and (m := _CUT.search(text, at)):
-            cuts.append(m.start())
-            at = m.start() + PIECE_CHARS
-        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where each text's begin and end."""
-        pieces, of = [], []
-        for k, text in enumerate(texts):
-            own = self._pieces(text or "")
-            pieces += own
-            of += [k] * len(own)
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.bincount(np.array(of, np.int64), weights=[len(x) for x in lists], minlength=len(texts)).astype(np.int64)
-        ids = np.fromiter((i for x in lists for i in x), np.int64, int(lengths.sum()))
-        return ids, np.concatenate([[0], np.cumsum(lengths)])
+    def _forget(self) -> None:
+        self._slots: dict[int, int] = {}
+        self._begin, self._flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """All ids of a slice of texts, where each text's begin and end, and the bytes of each id.
+
+        Each different piece is encoded by the library once and remembered by its hash; that the ids'
+        bytes are the texts' bytes is then checked, and a slice where they are not (two pieces of one hash) is encoded as
+        it stands.
+        """
+        starts, ends, first = self._pieces(data, offsets)
+        hashes, at, of = np.unique(K.RangeHash(data)(starts, ends), return_index=True, return_inverse=True)
+        if len(self._slots) + len(hashes) > MAX_KNOWN:
+            self._forget()
+        known = self._slots
+        new = [i for i, h in enumerate(hashes.tolist()) if h not in known]
+        lists = self._library([data[a:b].tobytes().decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        known.update(zip(hashes[new].tolist(), range(len(known), len(known) + len(new)), strict=True))
+        self._begin = np.append(self._begin, self._begin[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64))
+        self._flat = np.append(self._flat, np.fromiter(chain.from_iterable(lists), np.int32))
+        slot = np.fromiter((known[h] for h in hashes.tolist()), np.int64, len(hashes))[of]
+        begin, many = self._begin[slot], self._begin[slot + 1] - self._begin[slot]
+        total = np.concatenate([[0], np.cumsum(many)])
+        ids = self._flat[np.repeat(begin - total[:-1], many) + np.arange(total[-1])]
+        bounds, body = total[first], self.decode(ids)
+        if not np.array_equal(np.frombuffer(body.buffers()[2] or b"", np.uint8)[: len(data)], data) or len(data) != self._width[ids].sum():
+            lists = self._library([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            ids = np.array([i for x in lists for i in x], np.int32)
+            bounds, body = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), self.decode(ids)
+        return ids, bounds, body
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of pieces between sure ends of matches, and each text's first piece."""
+        begin = np.zeros(len(data), bool)
+        begin[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        if self.cuts:
+            solid = (data > 0x20) & (data < 0x7F)
+            solid[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80)
+            begin[1:] |= ~K.NONSPACE[data[1:]] & solid[:-1]
+            letter = (data | 0x20) - np.uint8(0x61) < 26
+            begin[1:] |= letter[:-1] & ~letter[1:] & (data[1:] > 0x20) & (data[1:] < 0x7F) & ((data[1:] < 0x30) | (data[1:] > 0x39))
+        starts = np.flatnonzero(begin)
+        return starts, np.append(starts[1:], len(data)), np.searchsorted(starts, offsets)
 
     def encode_with_offsets(self, text: str | None) -> list[tuple[int, int, int]]:
         """(id, first character, last character + 1) of each token; tokens of a split character share it."""
@@ -147,8 +178,8 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", ranks_path: s
         c = codec(path, pattern)
         for batch in batches:
             column = K.text_column(batch, text)
-            for a, b, _, _ in K.slices(column):
-                ids, bounds = c.encode(column.slice(a, b - a).to_pylist())
+            for a, b, data, offsets in K.slices(column):
+                ids, bounds, _ = c.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*batch.schema.names, into])
 
@@ -164,10 +195,10 @@ def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | No
         c = codec(path, pattern)
         for batch in batches:
             column = K.text_column(batch, "text")
-            for a, b, _, _ in K.slices(column):
-                ids, bounds = c.encode(column.slice(a, b - a).to_pylist())
+            for a, b, data, offsets in K.slices(column):
+                ids, bounds, body = c.encode(data, offsets)
                 yield pa.record_batch(
-                    [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(c.decimal_sha256(ids, bounds)), pa.array(c.joined_sha256(c.decode(ids), bounds))],
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(c.decimal_sha256(ids, bounds)), pa.array(c.joined_sha256(body, bounds))],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -100,10 +101,12 @@ def test_bpe_round_trip(spark):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60))
+@given(st.text(max_size=60) | st.text("ab \n\t\u00a0\u3000é'sD1,.", max_size=60))
 def test_bpe_any_text(text):
     c, enc = codec(default_ranks(), default_pattern()), reference_encoding()
-    ids, _ = c.encode([text])
+    data = np.frombuffer(text.encode(), np.uint8)
+    ids, bounds, _ = c.encode(data, np.array([0, len(data)]))
+    assert list(bounds) == [0, len(ids)]
     assert list(ids) == enc.encode_ordinary(text)
     assert c.decode_text(ids) == text
     assert [i for i, _, _ in c.encode_with_offsets(text)] == list(ids)
