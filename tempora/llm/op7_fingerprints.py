@@ -77,12 +77,11 @@ def successors(docs: DataFrame) -> DataFrame:
     ids = docs.groupBy("ord").agg(F.max(F.length("text")).alias("n"))
     ranged = cut(ids.repartitionByRange(n, "ord").select("ord", F.floor(F.col("n") / 2).cast("int").alias("half"), F.spark_partition_id().alias("part")))
     ends = ranged.groupBy("part").agg(F.min("ord").alias("first"))
-    wrap = ends.select(F.min("first").alias("head"))
+    head = ends.select(F.min("first")).first()[0]
     after = ends.select("part", F.lead("first").over(Window.orderBy("part")).alias("following"))
     linked = (
         ranged.join(F.broadcast(after), "part")
-        .crossJoin(F.broadcast(wrap))
-        .select("ord", "half", F.coalesce(F.lead("ord").over(Window.partitionBy("part").orderBy("ord")), "following", "head").alias("next"))
+        .select("ord", "half", F.coalesce(F.lead("ord").over(Window.partitionBy("part").orderBy("ord")), "following", F.lit(head)).alias("next"))
     )
     back = linked.select(F.col("next").alias("ord"), F.col("ord").alias("prev"), F.col("half").alias("prev_half"))
     return cut(linked.join(back, "ord"))
@@ -92,7 +91,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("ord"))
     placed = own.join(successors(own), "ord")
-    given = placed.withColumn("rn", F.row_number().over(Window.partitionBy("ord").orderBy("text"))).where("rn = 1")
+    # The window asks for the same columns as the join below, so that both read one exchange of texts.
+    given = placed.withColumn("rn", F.row_number().over(Window.partitionBy("ord").orderBy("text", "doc_id"))).where("rn = 1")
     given = with_fingerprint(given, "text", "fp").select(F.col("prev").alias("ord"), F.substring("text", F.lit(1), F.col("prev_half")).alias("tail"), hashes("fp").alias("next_set"))
     n = F.length("text")
     joined = placed.select("ord", "doc_id", "text").join(given, "ord")
