@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkern as K
-from .workdir import cut, shuffle_partitions
+from .workdir import cut, cut_by
 
 #: Bytes of text in a block; one longer text is a block of its own.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of text whose keys one bucket is to answer for.
 BUCKET_TEXT_BYTES = 10 << 20
 #: Stands for a missing id, which comes before all others.
@@ -65,13 +65,22 @@ def decode_columns(body: bytes) -> list[np.ndarray]:
 class Block:
     """The texts of one block."""
 
-    def __init__(self, number: int, ids: bytes, offsets: bytes, body: bytes):
-        self.number = number
+    def __init__(self, number: int, ids: bytes, offsets: bytes, body: bytes, carry: bytes | None = None):
+        self.number, self._carry = number, carry
         self.ids = np.frombuffer(ids, np.int64)
         self.offsets = np.frombuffer(offsets, np.int64)
         raw = zstandard.ZstdDecompressor().decompress(body) if len(body) else b""
         self.data = np.frombuffer(raw, np.uint8)
 
+    @classmethod
+    def of_texts(cls, block: Block, nth: np.ndarray) -> Block:
+        """A block of some of another's texts, in the order given."""
+        out = cls.__new__(cls)
+        out.number, out._carry, out.ids = block.number, None, block.ids[nth]
+        out.offsets = np.concatenate([[0], np.cumsum(block.offsets[nth + 1] - block.offsets[nth])]).astype(np.int64)
+        out.data = np.concatenate([block.data[block.offsets[i] : block.offsets[i + 1]] for i in nth]) if len(nth) else block.data[:0]
+        return out
+
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, bytes, offsets) of slices of whole texts."""
         row, n = 0, len(self.ids)
@@ -84,44 +93,71 @@ class Block:
     def id_column(self, name_type: pa.DataType) -> pa.Array:
         return pa.array(self.ids, mask=self.ids == NO_ID).cast(name_type)
 
+    def rows(self, keep: np.ndarray, texts: pa.Array | None = None) -> pa.RecordBatch:
+        """The packed rows, all columns, where ``keep``; with other texts, if given."""
+        raw = zstandard.ZstdDecompressor().decompress(self._carry)
+        table = pa.ipc.open_stream(raw).read_all().combine_chunks()
+        if texts is None:
+            texts = pa.Array.from_buffers(pa.binary(), len(self.ids), [None, pa.py_buffer(self.offsets.astype(np.int32)), pa.py_buffer(self.data)]).cast(pa.string())
+            texts = pa.compute.if_else(table.column("text"), texts, pa.scalar(None, pa.string()))
+        at = table.schema.get_field_index("text")
+        table = table.set_column(at, "text", texts).filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks else pa.array([], c.type) for c in table.columns], schema=table.schema)
+
+
+FIELDS = "block long, ids binary, offsets binary, body binary, carry binary, n_bytes long"
+
+
+def fields_of(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-FIELDS = "block long, ids binary, offsets binary, body binary, n_bytes long"
 
+def pack(docs: DataFrame, block_bytes: int | None = None, whole_rows: bool = False) -> DataFrame:
+    """(block, ids, offsets, body, carry, n_bytes), dealt by block and kept in the shared folder.
 
-def pack(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
-    """(block, ids, offsets, body, n_bytes), dealt by block and kept in the shared folder."""
+    ``whole_rows``: all columns travel along, for ``Block.rows``."""
     block_bytes = block_bytes or BLOCK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=1)
+        compressor = zstandard.ZstdCompressor(level=5)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 24
-        ids, lengths, parts, size = [], [], [], 0
+        ids, lengths, parts, others, size = [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            nonlocal number, ids, lengths, parts, size
+            nonlocal number, ids, lengths, parts, others, size
+            carry = None
+            if whole_rows:
+                sink = pa.BufferOutputStream()
+                table = pa.Table.from_batches(others)
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table)
+                carry = compressor.compress(sink.getvalue())
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
             out = pa.record_batch(
-                [pa.array([number]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([compressor.compress(b"".join(parts))], pa.binary()), pa.array([size])],
-                ["block", "ids", "offsets", "body", "n_bytes"],
+                [pa.array([number]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([compressor.compress(b"".join(parts))], pa.binary()), pa.array([carry], pa.binary()), pa.array([size])],
+                ["block", "ids", "offsets", "body", "carry", "n_bytes"],
             )
-            number, ids, lengths, parts, size = number + 1, [], [], [], 0
+            number, ids, lengths, parts, others, size = number + 1, [], [], [], [], 0
             return out
 
         for batch in batches:
-            own = batch.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+            own = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+            at = batch.schema.get_field_index("text")
+            there = batch.set_column(at, "text", batch.column(at).is_valid())  # only whether there was a text
             for a, b, data, offsets in K.slices(K.text_column(batch, "text"), block_bytes // 4):
                 ids.append(own[a:b])
                 lengths.append(np.diff(offsets))
                 parts.append(data.tobytes())
+                others.append(there.slice(a, b - a))
                 size += len(data)
                 if size >= block_bytes:
                     yield row()
         if ids:
             yield row()
 
-    packed = docs.select("doc_id", "text").mapInArrow(run, FIELDS)
-    return cut(packed.repartition(shuffle_partitions(docs.sparkSession), "block"))
+    packed = (docs if whole_rows else docs.select("doc_id", "text")).mapInArrow(run, FIELDS)
+    return cut_by(packed, "block")
 
 
 def total_bytes(blocks: DataFrame) -> int:
@@ -139,7 +175,7 @@ def opened(batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple[Bl
         columns = {name: batch.column(batch.schema.get_field_index(name)) for name in batch.schema.names}
         for i in range(batch.num_rows):
             got = [{x["bucket"]: x["bits"] for x in columns[f"answer{k}"][i].as_py() or ()} for k in range(answers)]
-            yield Block(*(columns[c][i].as_py() for c in ("block", "ids", "offsets", "body"))), got
+            yield Block(*(columns[c][i].as_py() for c in ("block", "ids", "offsets", "body", "carry"))), got
 
 
 Keys = tuple[np.ndarray, ...]
@@ -193,7 +229,7 @@ def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, l
     sent = blocks.mapInArrow(send, "bucket int, block long, body binary")
     answers = sent.groupBy("bucket").applyInArrow(reply, "block long, bucket int, bits binary")
     each = cut(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"answer{question}")))
-    return blocks.join(each, "block", "left")
+    return blocks.join(each.hint("merge"), "block", "left")
 
 
 def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:

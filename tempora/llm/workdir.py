@@ -24,5 +24,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by a key and kept so that Spark still knows how it is dealt: later joins on the key leave it in place.
+
+    A plan under adaptive execution does not tell its partitioning when it is kept, so this one is planned without.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(shuffle_partitions(spark), key).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
