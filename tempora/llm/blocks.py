@@ -193,7 +193,7 @@ def bits_of(keys: np.ndarray, answer: dict[int, bytes], buckets: int, width: int
     at = bounds(keys, buckets)
     for bucket, body in answer.items():
         n = at[bucket + 1] - at[bucket]
-        raw = np.unpackbits(np.frombuffer(body, np.uint8)).reshape(width, -1)[:, :n]
+        raw = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)).reshape(width, -1)[:, :n]
         for k in range(width):
             out[k][at[bucket] : at[bucket + 1]] = raw[k]
     return out
@@ -223,7 +223,7 @@ def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, l
             own = [c[a:b] for c in bits]
             if any(c.any() for c in own):
                 numbers.append(number)
-                bodies.append(b"".join(np.packbits(c).tobytes() for c in own))
+                bodies.append(zstandard.ZstdCompressor(level=1).compress(b"".join(np.packbits(c).tobytes() for c in own)))
         return pa.table([pa.array(numbers, pa.int64()), pa.array([key[0].as_py()] * len(numbers), pa.int32()), pa.array(bodies, pa.binary())], ["block", "bucket", "bits"])
 
     sent = blocks.mapInArrow(send, "bucket int, block long, body binary")
@@ -242,18 +242,29 @@ def group_starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def shared_answer(hot: int) -> Callable[..., tuple[np.ndarray, ...]]:
-    """Of each key: is it in two texts or more, is it in more than ``hot``."""
+def totals(key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each key, its counts over all blocks."""
+    order = np.argsort(key)
+    starts = group_starts(key[order])
+    total = np.zeros(len(key), np.uint64)
+    if len(key):
+        total[order] = np.repeat(np.add.reduceat(count[order], starts), np.diff(np.append(starts, len(key))))
+    return total
 
-    def answer(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(key, kind="stable")
-        starts = group_starts(key[order])
-        total = np.zeros(len(key), np.uint64)
-        if len(key):
-            total[order] = np.repeat(np.add.reduceat(count[order], starts), np.diff(np.append(starts, len(key))))
-        return total > 1, total > hot
 
-    return answer
+def shared_answer(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each key: is it in two texts or more."""
+    return (totals(key, count) > 1,)
+
+
+#: Bits of a frequency class.
+CLASS_BITS = 4
+
+
+def class_answer(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each key, the class of its count: 0 for one text, then one for each doubling, 15 for all above."""
+    classes = np.minimum(np.ceil(np.log2(np.maximum(totals(key, count), 1).astype(float))), (1 << CLASS_BITS) - 1).astype(np.int64)
+    return tuple((classes >> k & 1).astype(bool) for k in range(CLASS_BITS))
 
 
 def counted(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

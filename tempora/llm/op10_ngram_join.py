@@ -1,7 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by the threshold, and their components.
 
 A document's set holds its distinct ``size``-word shingles, hashed to 64 bits, of its words with A-Z lowered.
-Candidates come from a prefix in the order (how many documents have a shingle: one, some, many; then its hash): two
+Candidates come from a prefix in the order (how many documents have a shingle, by doublings; then its hash): two
 sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1 of either. The document counts of all
 shingles are gathered over all documents (see ``blocks``). A shingle of one document links nothing, and most documents have
 so many of them that their prefix holds no other: those are done without leaving their block. Shingles that many
@@ -26,13 +26,11 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import textkern as K
-from .pairs import near_components
-from .workdir import cut
+from .pairs import components, near_components
+from .workdir import Scratch, cut
 
 SIZE = 5
 PERCENT = 75
-#: A shingle of more documents than these comes last in the order; a matter of speed only.
-HOT = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +50,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
         more = length > step
         rolled[more] = K.mix(rolled[more] * np.uint64(0x632BE59BD9B4E019) + word[at[more] + step])
     rolled = K.mix(rolled + length.astype(np.uint64))
-    order = np.lexsort((rolled, of))
+    order = K.order_within(of, rolled)
     of, rolled = of[order], rolled[order]
     keep = B.group_starts(of, rolled)
     return of[keep], rolled[keep]
@@ -70,67 +68,115 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def prefixed(docs: DataFrame, size: int, percent: int, hot: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, members, keys) of each document; members and keys where its prefix has shared shingles."""
-    packed = B.pack(docs)
+def sorted_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, distinct sorted keys, how often each) of the 48-bit keys of hashes."""
+    key = h >> np.uint64(16)
+    order = np.argsort(key)
+    starts = B.group_starts(key[order])
+    return order, key[order][starts], np.diff(np.append(starts, len(key)))
+
+
+def prefixed(packed: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(own, n_shingles, set_a, set_b, keys, place, block, nth) of each document; keys where its prefix has shared shingles, the
+    first of them at ``place`` in the order of its shingles."""
     buckets = B.bucket_count(B.total_bytes(packed))
 
     def keys(block: B.Block, _: list) -> tuple[np.ndarray, ...]:
-        text, h = block_sets(block, size)
-        return B.counted(h >> np.uint64(16), text)
+        _, sent, often = sorted_keys(block_sets(block, size)[1])
+        return sent, often.astype(np.uint64)
 
-    asked = B.ask(packed, 0, buckets, keys, B.shared_answer(hot))
+    asked = B.ask(packed, 0, buckets, keys, B.class_answer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, got in B.opened(batches, 1):
             text, h = block_sets(block, size)
-            key = h >> np.uint64(16)
-            sent = np.unique(key)
-            shared, many = B.bits_of(sent, got[0], buckets, 2)
-            at = np.searchsorted(sent, key)
-            rank = shared[at].astype(np.int8) + many[at]
+            order, sent, often = sorted_keys(h)
+            bits = B.bits_of(sent, got[0], buckets, B.CLASS_BITS)
+            rank = np.zeros(len(h), np.int8)
+            rank[order] = np.repeat(sum(c.astype(np.int8) << k for k, c in enumerate(bits)), often)
             first = np.searchsorted(text, np.arange(len(block.ids) + 1))
             n = np.diff(first)
             length = n - (n * percent + 99) // 100 + 1
-            lone = np.add.reduceat(np.append(rank == 0, False), np.minimum(first[:-1], len(rank))) * (n > 0)
-            members, prefix, ones, twos = [], [], [], []
-            for i in range(len(n)):
-                if n[i] == 0 or lone[i] >= length[i]:
-                    members.append(None)
-                    prefix.append(None)
-                    ones.append(0)
-                    twos.append(0)
-                    continue
+            alone = np.zeros(len(h) + 1, np.int64)
+            np.cumsum(rank == 0, out=alone[1:])
+            lone = alone[first[1:]] - alone[first[:-1]]
+            prefix, ones, twos = [None] * len(n), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            for i in np.flatnonzero((n > 0) & (lone < length)):
                 own, r = h[first[i] : first[i + 1]], rank[first[i] : first[i + 1]]
-                chosen = np.lexsort((own, r))[lone[i] : length[i]]
-                members.append(own.tobytes())
-                prefix.append(signed(key[first[i] : first[i + 1]][chosen]).tolist())
-                ones.append(int(signed(own.sum(dtype=np.uint64, keepdims=True))[0]))
-                twos.append(int(signed(K.mix(own).sum(dtype=np.uint64, keepdims=True))[0]))
+                # Hashes are sorted within a text, so the order by rank alone is stable by hash.
+                chosen = np.argsort(r, kind="stable")[lone[i] : length[i]]
+                prefix[i] = (own[chosen] >> np.uint64(16)).view(np.int64)
+                ones[i] = signed(own.sum(dtype=np.uint64, keepdims=True))[0]
+                twos[i] = signed(K.mix(own).sum(dtype=np.uint64, keepdims=True))[0]
             yield pa.record_batch(
-                [block.id_column(pa.int64()), pa.array(n), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(members, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "members", "keys"],
+                [pa.array(block.ids), pa.array(n), pa.array(ones), pa.array(twos), pa.array(prefix, pa.list_(pa.int64())), pa.array(lone), pa.array([block.number] * len(n), pa.int64()), pa.array(np.arange(len(n)))],
+                ["own", "n_shingles", "set_a", "set_b", "keys", "place", "block", "nth"],
             )
 
-    return cut(asked.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, members binary, keys array<long>"))
+    return scratch.keep(asked.mapInArrow(run, "own long, n_shingles long, set_a long, set_b long, keys array<long>, place long, block long, nth long"))
 
 
-def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least id reachable by links)."""
-    base = prefixed(docs, size, percent, hot).withColumn("own", F.coalesce("doc_id", F.lit(B.NO_ID)))
+def sets_of(packed: DataFrame, places: DataFrame, size: int) -> DataFrame:
+    """(node, n, members) of the documents at some places (block, nth, node); texts are read in their blocks."""
+    each = cut(places.groupBy("block").agg(F.collect_list(F.struct("nth", "node")).alias("some")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (block, _), some in zip(B.opened(iter([batch]), 0), batch.column(batch.schema.get_field_index("some")).to_pylist(), strict=True):
+                nth = np.array([x["nth"] for x in some])
+                part = B.Block.of_texts(block, nth)
+                text, h = block_sets(part, size)
+                first = np.searchsorted(text, np.arange(len(nth) + 1))
+                yield pa.record_batch(
+                    [pa.array([x["node"] for x in some], pa.int64()), pa.array(np.diff(first)), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())],
+                    ["node", "n", "members"],
+                )
+
+    return packed.join(each.hint("merge"), "block").mapInArrow(run, "node long, n long, members binary")
+
+
+def linked(packed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``prefixed``, (own, comp) of the documents that are linked with others)."""
+    scratch = Scratch(packed.sparkSession)
+    base = prefixed(packed, size, percent, scratch)
     same = ["set_a", "set_b", "n_shingles"]
-    candidates = base.where(F.col("members").isNotNull())
-    classes = candidates.groupBy(*same).agg(F.min("own").alias("node"))
-    in_class = cut(candidates.select("own", *same).distinct().join(classes, same).select("own", "node", *same))
-    sets = candidates.join(classes.withColumnRenamed("node", "own"), [*same, "own"]).dropDuplicates([*same, "own"])
-    nodes = sets.select(F.col("own").alias("node"), F.col("n_shingles").alias("n"), "members", "keys")
-    linked = near_components(nodes, percent)
-    # A row's class, its node's component, and rows that share an id: together the components of documents.
-    from .pairs import components
-
-    edges = in_class.where("own != node").select(F.col("own").alias("a"), F.col("node").alias("b")).union(linked.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-    final = components(edges)
-    out = base.select("doc_id", "own", "n_shingles").join(final.withColumnRenamed("node", "own"), "own", "left")
+    candidates = base.where(F.col("keys").isNotNull())
+    classes = candidates.groupBy(*same).agg(F.min(F.struct("own", "block", "nth")).alias("first"))
+    in_class = candidates.select("own", *same).join(classes, same).select("own", F.col("first.own").alias("node")).where("own != node").distinct()
+    first = classes.select("first.*")
+    reps = scratch.keep(candidates.join(first, ["own", "block", "nth"]).select(F.col("own").alias("node"), F.col("n_shingles").alias("n"), "keys", "place", "block", "nth"))
+    near = near_components(reps, lambda wanted: sets_of(packed, reps.select("node", "block", "nth").join(wanted, "node"), size), percent, scratch)
+    # Documents of equal sets, and the sets' components; rows that share an id are one node of both.
+    edges = in_class.select(F.col("own").alias("a"), F.col("node").alias("b")).union(near.select(F.col("node").alias("a"), F.col("comp").alias("b")))
+    comps = components(edges, scratch).withColumnRenamed("node", "own")
+    base = base.select("own", "n_shingles", "block", "nth")
+    scratch.close(base, comps)
+    return base, comps
+
+
+def ngram_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least id reachable by links)."""
+    base, comps = linked(B.pack(docs), size, percent)
+    out = base.select("own", "n_shingles").join(comps, "own", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = F.coalesce("comp", "own")
-    return out.select(F.col("doc_id").cast(kind), "n_shingles", F.when(found != B.NO_ID, found).cast(kind).alias("component_id"))
+    known = lambda c: F.when(c != B.NO_ID, c).cast(kind)
+    return out.select(known(F.col("own")).alias("doc_id"), "n_shingles", known(F.coalesce("comp", "own")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: the first row of its least id. All columns stay; texts leave their block only here."""
+    packed = B.pack(docs, whole_rows=True)
+    base, comps = linked(packed, size, percent)
+    placed = base.select("own", "block", "nth").join(comps, "own")
+    stays = placed.groupBy("comp").agg(F.min(F.struct("own", "block", "nth")).alias("first"))
+    gone = placed.join(stays, "comp").where(F.struct("own", "block", "nth") != F.col("first"))
+    each = cut(gone.groupBy("block").agg(F.collect_list("nth").alias("gone")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (block, _), away in zip(B.opened(iter([batch]), 0), batch.column(batch.schema.get_field_index("gone")).to_pylist(), strict=True):
+                keep = np.ones(len(block.ids), bool)
+                keep[away or []] = False
+                yield block.rows(keep)
+
+    return packed.join(each.hint("merge"), "block", "left").mapInArrow(run, B.fields_of(docs))

@@ -84,7 +84,7 @@ class Ranges:
     def shared(self, answer: dict[int, bytes], buckets: int) -> None:
         """Leave only ranges whose gram is in two documents or more."""
         grams = self.key[B.group_starts(self.key)]
-        bits, _ = B.bits_of(grams, answer, buckets, 2)
+        (bits,) = B.bits_of(grams, answer, buckets, 1)
         self.keep(np.repeat(bits, np.diff(np.append(B.group_starts(self.key), len(self.key)))))
 
     def covers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +198,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM):
         (earlier,) = B.bits_of(windows.keys >> np.uint64(16), got[2], few, 1)
         return np.concatenate([expand(r.first[whole], r.last[whole])[1], windows.repeated(earlier)])
 
-    asked = B.ask(packed, 0, many, gram_keys, B.shared_answer(1))
+    asked = B.ask(packed, 0, many, gram_keys, B.shared_answer)
     asked = B.ask(asked, 1, few, cover_keys, _cover_answer)
     return B.ask(asked, 2, few, window_keys, _window_answer), find
 

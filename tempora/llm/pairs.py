@@ -1,15 +1,17 @@
 """Connected components of sets whose Jaccard similarity reaches a threshold.
 
-``nodes`` has one row for each different set: node (a long), n (its size), members (its sorted 64-bit hashes
-as bytes), keys. Keys are made so that two sets that reach the threshold share one. Only
-connectedness is asked for, so not all pairs of a key's group are made:
+``nodes`` has one row for each different set: node (a long), n (its size), keys. Keys are made so that two sets
+that reach the threshold share one. Where they are a prefix of an order of all members, place is that of the first. The members
+themselves (sorted 64-bit hashes as bytes) are fetched only for nodes that share a key. Only connectedness is asked for, so not
+all pairs of a key's group are made:
 
 1. tiles: sets of like size (bands a factor of 4/3 wide; sets that can reach the threshold are in one
-   band or in neighbouring ones) that share a key are compared with one pivot of their band and of the band below;
-2. what is linked becomes one component; groups that lie in one component are done. Others are
-   compared with other pivots;
-3. in groups that still hold several components, every pair of different components is compared. So no
-   link is lost, whatever the groups look like.
+   band or in neighbouring ones) that share a key have a pivot in their band and in the band below, drawn by hash. A
+   node is compared with the first by hash of the pivots of its keys, so many copies of one text all meet one pivot;
+2. what is linked becomes one component; groups that lie in one component are done. In the others a new pivot is
+   drawn, as long as that links more and many pairs are left;
+3. in groups that still hold several components, every pair of different components is compared that the places
+   of the shared key leave possible. So no link is lost, whatever the groups look like.
 
 A pair is first held against hashed bitmaps: each set bit that the other has not is at least one member
 that the other has not, which bounds the overlap from above. Pairs that pass are compared exactly, by
@@ -18,16 +20,18 @@ intersecting sorted arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workdir import cut
+from .workdir import Scratch
 
 BITMAP_LONGS = 8
+#: Of drawing pivots; what is open after them is compared pair by pair.
+MOST_ROUNDS = 6
 
 
 def band(n: Column) -> Column:
@@ -75,28 +79,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "a_members", "b_members").mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp): the least node reachable, for every node of an edge (a, b).
 
     Each round takes the least label among neighbours and then the label of that label, so paths shorten
-    by half; every round is kept in the shared folder.
+    by half; every round is written in the shared folder and the one before deleted.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
+    both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "node")
         lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
-        jump = lower.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = cut(lower.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
+        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        new = scratch.keep(lower.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
+        scratch.drop(labels)
         labels = new.select("node", "comp")
-        if new.where("was != comp").limit(1).count() == 0:
+        if new.where("was != comp").isEmpty():
+            scratch.drop(both)
             return labels
 
 
-def near_components(nodes: DataFrame, percent: int) -> DataFrame:
+def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node that is linked with another; see the module's text.
 
-    Rows that share a node (rows of one document's id) count as linked."""
+    ``fetch`` gives (node, n, members) for a table of nodes. Rows that share a node (rows of one document's id) count as linked."""
 
     def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,29 +110,60 @@ def near_components(nodes: DataFrame, percent: int) -> DataFrame:
             bits = [bitmap(np.frombuffer(x.as_buffer(), np.uint64)).tolist() for x in members]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.list_(pa.int64()))], names=[*batch.schema.names, "bits"])
 
-    nodes = cut(nodes.select("node", "n", "members", "keys").mapInArrow(with_bits, "node long, n long, members binary, keys array<long>, bits array<long>"))
-    entries = cut(nodes.select("node", "n", band(F.col("n")).alias("band"), F.explode("keys").alias("key")).distinct())
+    place = F.col("place") if "place" in nodes.columns else F.lit(None).cast("long")
+    entries = nodes.select("node", "n", band(F.col("n")).alias("band"), place.alias("place"), F.posexplode("keys").alias("at", "key")).withColumn("place", F.col("place") + F.col("at")).drop("at")
+    met = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+    entries = scratch.keep(entries.join(met, "key").distinct())
+    wanted = entries.select("node").distinct()
+    nodes = scratch.keep(fetch(wanted).select("node", "n", "members").mapInArrow(with_bits, "node long, n long, members binary, bits array<long>"))
     fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
 
     def starred(open_entries: DataFrame, seed: int) -> DataFrame:
-        """Pairs of each entry with the pivot of its band and of the band below."""
-        pivots = open_entries.groupBy("key", "band").agg(F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node", F.lit(seed)), "node")).alias("p"))
-        own = open_entries.join(pivots, ["key", "band"])
-        below = open_entries.join(pivots.withColumn("band", F.col("band") + 1), ["key", "band"])
-        pair = own.unionByName(below).select(F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("p.node").alias("y"), F.col("p.n").alias("b_n"))
-        return pair.where((F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    def labelled(links: DataFrame) -> DataFrame:
-        comps = components(links)
-        with_comp = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        undone = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-        return cut(with_comp.join(undone, "key"))
-
-    links = cut(verified(starred(entries, 1), nodes, percent))
-    left = labelled(links)
-    links = cut(links.union(verified(starred(left, 2), nodes, percent)))
-    left = labelled(links)
-    x, y = (left.select("key", F.col("node").alias(k), F.col("n").alias(f"{k}_n"), F.col("band").alias(f"{k}_band"), F.col("comp").alias(f"{k}_comp")) for k in "ab")
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & fits)
-    links = links.union(verified(rest.select("a", "b").distinct(), nodes, percent))
-    return components(links)
+        """For each node the first pivot, by hash, of its keys in its band, and the first in the band below."""
+        pivots = open_entries.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n")).alias("p"))
+        own = open_entries.join(pivots, ["key", "band"]).withColumn("below", F.lit(0))
+        below = open_entries.join(pivots.withColumn("band", F.col("band") + 1), ["key", "band"]).withColumn("below", F.lit(1))
+        pair = own.unionByName(below).select(F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("p.n").alias("b_n"), "p", "below")
+        first = pair.where((F.col("x") != F.col("p.node")) & fits).groupBy("x", "below").agg(F.min("p").alias("p"))
+        return first.select(F.least("x", "p.node").alias("a"), F.greatest("x", "p.node").alias("b")).distinct()
+
+    def undone(links: DataFrame) -> DataFrame:
+        """The entries of keys whose nodes are not all in one component yet, with their components."""
+        comps = components(links, scratch)
+        with_comp = scratch.keep(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+        scratch.drop(comps)
+        several = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        left = scratch.keep(with_comp.join(several, "key"))
+        scratch.drop(with_comp)
+        return left
+
+    def pairs_left(left: DataFrame) -> int:
+        """Pairs of different components over all open groups."""
+        by_comp = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        by_key = by_comp.groupBy("key").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("p"))
+        return int((by_key.agg(F.sum("p")).first()[0] or 0) / 2)
+
+    links = scratch.keep(verified(starred(entries, 1), nodes, percent))
+    left = undone(links)
+    open_pairs, size = pairs_left(left), entries.count()
+    for seed in range(2, MOST_ROUNDS + 1):
+        if open_pairs <= size:
+            break
+        more = scratch.keep(verified(starred(left, seed), nodes, percent))
+        both = scratch.keep(links.union(more))
+        scratch.drop(more)
+        scratch.drop(links)
+        scratch.drop(left)
+        links, left, before = both, undone(both), open_pairs
+        open_pairs = pairs_left(left)
+        if open_pairs > 0.9 * before:
+            break
+    x, y = (left.select("key", *(F.col(c).alias(f"{k}_{c}" if c != "node" else k) for c in ("node", "n", "band", "comp", "place"))) for k in "ab")
+    possible = F.least("a_place", "b_place") + 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) - 1
+    likely = F.coalesce(possible >= needed(F.col("a_n"), F.col("b_n"), percent), F.lit(True))
+    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & fits & likely)
+    last = scratch.keep(verified(rest.select("a", "b").distinct(), nodes, percent))
+    found = components(links.union(last), scratch)
+    for table in (links, last, left, entries, nodes):
+        scratch.drop(table)
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder, as in tests.
@@ -42,3 +44,44 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Scratch:
+    """Tables written in the shared folder while an operator runs.
+
+    A table that is read back is a plan of its own, without what led to it, so rounds of an iteration
+    cost the driver nothing that adds up. What the result does not read is deleted by ``close``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._root = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self._paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self._root}/{len(self._paths)}"
+        df.write.parquet(path)
+        self._paths.append(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the tables that ``df`` reads; nothing else may read them."""
+        for path in self._read_by(df):
+            self._delete(path)
+
+    def close(self, *results: DataFrame) -> None:
+        """Delete all tables but those that the results read."""
+        used = {p for r in results for p in self._read_by(r)}
+        for path in list(self._paths):
+            if path and path not in used:
+                self._delete(path)
+
+    def _read_by(self, df: DataFrame) -> set[str]:
+        files = df.inputFiles()
+        return {p for p in self._paths if p and any(f"{p.partition(':')[2] or p}/" in f for f in files)}
+
+    def _delete(self, path: str) -> None:
+        jvm = self._spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self._paths[self._paths.index(path)] = ""

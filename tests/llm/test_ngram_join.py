@@ -62,7 +62,7 @@ def test_components(spark, monkeypatch, seed, block_bytes):
     monkeypatch.setattr(B, "bucket_count", lambda *_: 3)
     rows = list(enumerate(texts(seed, 40) + near_copies(seed)))
     rows += [(None, rows[60][1]), (3, rows[70][1]), (3, "another text under an id that is there"), (70, rows[70][1]), (900, rows[61][1].upper())]
-    got = sorted(map(tuple, ngram_components(documents(spark, rows), hot=6).collect()), key=str)
+    got = sorted(map(tuple, ngram_components(documents(spark, rows)).collect()), key=str)
     assert got == brute(rows)
 
 
