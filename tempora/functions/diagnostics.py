@@ -241,7 +241,7 @@ def zivot_andrews(y: np.ndarray, regression: str = "c", trim: float = 0.15, max_
         if t < best[0]:
             best = (t, b)
     crit = [float(np.interp(q, T.ZA_PERCENT, T.ZA[regression])) for q in (1, 5, 10)]
-    return {"stat": best[0], "pvalue": T.za_p(best[0], regression), "break_index": best[1], "lags": lags, "nobs": len(rows), "trim": trim, "regression": regression, **_crit(crit)}
+    return {"stat": best[0], "pvalue": T.za_p(best[0], regression), "break_index": best[1] - 1, "lags": lags, "nobs": len(rows), "trim": trim, "regression": regression, **_crit(crit)}
 
 
 def ndiffs(y: np.ndarray, test: str = "kpss", alpha: float = 0.05, max_d: int = 2) -> dict:

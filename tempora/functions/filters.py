@@ -50,12 +50,9 @@ def cf_filter(y: np.ndarray, low: float = 6.0, high: float = 32.0, drift: bool =
     w = np.concatenate([[(b - a) / math.pi], (np.sin(b * j) - np.sin(a * j)) / (math.pi * j)])
     cycle = np.zeros(n)
     for t in range(n):
-        before, after = t, n - 1 - t
-        total = w[0] * x[t]
-        if after > 0:
-            total += w[1:after] @ x[t + 1 : n - 1] + (-0.5 * w[0] - w[1:after].sum()) * x[-1]
-        if before > 0:
-            total += w[1:before] @ x[t - 1 : 0 : -1] + (-0.5 * w[0] - w[1:before].sum()) * x[0]
+        after, before = n - 1 - t, t
+        total = w[0] * x[t] + w[1:after] @ x[t + 1 : n - 1] + w[1:before] @ x[1:t][::-1]
+        total += (-0.5 * w[0] - w[1:after].sum()) * x[-1] + (-0.5 * w[0] - w[1:before].sum()) * x[0]
         cycle[t] = total
     return {"cycle": cycle, "trend": y - cycle}
 

@@ -128,7 +128,7 @@ def midas_weights(scheme: str, a: float, b: float, k: int) -> np.ndarray:
         e = a * j + b * j**2
         w = np.exp(e - e.max())
     else:
-        u = np.clip((j - 1) / max(k - 1, 1), 1e-10, 1 - 1e-10)
+        u = np.clip((j - 1) / max(k - 1, 1), 2.0**-52, 1 - 2.0**-52)
         w = u ** (a - 1) * (1 - u) ** (b - 1)
     return w / w.sum()
 

@@ -37,12 +37,11 @@ def lp(y: np.ndarray, shock: np.ndarray, horizons: int = 12, n_lag_controls: int
 
 def two_stage(y: np.ndarray, x: np.ndarray, z: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(coefficients, HAC covariance, first-stage F of the first regressor on the first instrument)."""
-    n, k = x.shape
     pz = z @ np.linalg.lstsq(z, x, rcond=None)[0]
     a = np.linalg.inv(pz.T @ x)
     b = a @ pz.T @ y
     u = y - x @ b
-    cov = a @ meat(pz * u[:, None], lags) @ a.T * n / (n - k)
+    cov = a @ meat(pz * u[:, None], lags) @ a.T
     f = fit_table(x[:, 0], z, "hac", lags)
     return b, cov, (f["params"][0] / f["bse"][0]) ** 2
 
@@ -93,7 +92,7 @@ def lp_state(y: np.ndarray, shock: np.ndarray, state: np.ndarray, horizons: int
 
 
 def bspline(x: np.ndarray, knots: np.ndarray, degree: int) -> np.ndarray:
-    b = np.array([(x >= knots[i]) & (x < knots[i + 1]) for i in range(len(knots) - 1)], float).T
+    b = np.array([(x >= knots[i] - 1e-12) & (x < knots[i + 1] - 1e-12) for i in range(len(knots) - 1)], float).T
     for d in range(1, degree + 1):
         new = np.zeros((len(x), len(knots) - 1 - d))
         for i in range(new.shape[1]):
@@ -103,10 +102,12 @@ def bspline(x: np.ndarray, knots: np.ndarray, degree: int) -> np.ndarray:
     return b
 
 
-def smooth_lp(y: np.ndarray, shock: np.ndarray, horizons: int = 12, n_lag_controls: int = 4, lam: float | None = None, degree: int = 3, penalty_order: int = 2, lambda_grid: list | None = None, n_folds: int = 5, hac_maxlags: int | None = None) -> dict:
+def smooth_lp(y: np.ndarray, shock: np.ndarray, horizons: int = 12, n_lag_controls: int = 4, lam: float | None = None, degree: int = 3, n_basis: int | None = None, penalty_order: int = 2, lambda_grid: list | None = None, n_folds: int = 5, hac_maxlags: int | None = None) -> dict:
     """Impulse responses as a penalised B-spline over horizons, after controls are partialled out at each horizon."""
     hs = np.arange(horizons + 1)
-    knots = np.arange(-degree, horizons + degree + 2, dtype=float)
+    n_basis = n_basis or horizons + 1
+    step = horizons / (n_basis - degree)
+    knots = step * np.arange(-degree, n_basis + 1, dtype=float)
     basis = bspline(hs.astype(float), knots, degree)
     xx, xy, rows, raw, raw_se = np.zeros(horizons + 1), np.zeros(horizons + 1), [], [], []
     for h in hs:

@@ -55,8 +55,8 @@ class Var:
 
 def var_fit(data: np.ndarray, lags: int = 2, trend: str = "c") -> dict:
     v = Var(data, lags, trend)
-    roots = np.sort(np.abs(np.linalg.eigvals(v.companion())))
-    return {"params": v.b, "sigma_u": v.sigma, **v.criteria(), "max_root": roots[-1], "min_root": 1 / roots[-1] if roots[-1] else None, "is_stable": float(roots[-1] < 1)}
+    roots = np.sort(np.abs(np.linalg.eigvals(v.companion())))  # roots of the lag polynomial are their inverses
+    return {"params": v.b, "sigma_u": v.sigma, **v.criteria(), "max_root": 1 / roots[0] if roots[0] else None, "min_root": 1 / roots[-1] if roots[-1] else None, "is_stable": float(roots[-1] < 1)}
 
 
 def select_order(data: np.ndarray, max_lags: int = 8, trend: str = "c") -> dict:
@@ -123,10 +123,10 @@ TRACE_CRIT = ((2.7055, 3.8415, 6.6349), (13.4294, 15.4943, 19.9349), (27.0669, 2
 MAXEIG_CRIT = ((2.7055, 3.8415, 6.6349), (12.2971, 14.2639, 18.52), (18.8928, 21.1314, 25.865), (25.1236, 27.5858, 32.7172), (31.2379, 33.8777, 39.3693))
 
 
-def _johansen_parts(data: np.ndarray, k_ar_diff: int):
+def _johansen_parts(data: np.ndarray, k_ar_diff: int, constant: bool = True):
     d = np.diff(data, axis=0)
     n = len(d) - k_ar_diff
-    z = np.hstack([np.ones((n, 1))] + [d[k_ar_diff - j : len(d) - j] for j in range(1, k_ar_diff + 1)])
+    z = np.hstack([np.ones((n, int(constant)))] + [d[k_ar_diff - j : len(d) - j] for j in range(1, k_ar_diff + 1)])
     r0 = d[k_ar_diff:] - z @ np.linalg.lstsq(z, d[k_ar_diff:], rcond=None)[0]
     level = data[k_ar_diff:-1]
     r1 = level - z @ np.linalg.lstsq(z, level, rcond=None)[0]
@@ -150,7 +150,7 @@ def johansen(data: np.ndarray, k_ar_diff: int = 1) -> dict:
 
 
 def vecm(data: np.ndarray, k_ar_diff: int = 1, coint_rank: int = 1) -> dict:
-    w, e, (dy, level, z, s00, s01, s11, n) = _johansen_parts(data, k_ar_diff)
+    w, e, (dy, level, z, s00, s01, s11, n) = _johansen_parts(data, k_ar_diff, False)
     r = coint_rank
     beta = e[:, :r] @ np.linalg.inv(e[:r, :r])
     alpha = s01 @ beta @ np.linalg.inv(beta.T @ s11 @ beta)

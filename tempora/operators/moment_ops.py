@@ -297,7 +297,7 @@ def midas_weights(spark, scheme: str = "exp_almon", theta1: float = 0.1, theta2:
         raw = F.exp(theta1 * j + theta2 * j * j)
         rows = spark.range(1, k + 1)
     elif scheme == "beta":
-        u = F.least(F.greatest((j - 1) / max(k - 1, 1), F.lit(1e-10)), F.lit(1 - 1e-10))
+        u = F.least(F.greatest((j - 1) / max(k - 1, 1), F.lit(2.0**-52)), F.lit(1 - 2.0**-52))
         raw = F.pow(u, F.lit(theta1 - 1)) * F.pow(1 - u, F.lit(theta2 - 1))
         rows = spark.range(1, k + 1)
     else:
