@@ -96,12 +96,13 @@ def f_sf(x: float, d1: float, d2: float) -> float:
 
 def t_sf(x: float, df: float) -> float:
     """P(T > x)."""
-    tail = 0.5 * beta_inc(df / 2, 0.5, df / (df + x * x))
+    tail = 0.5 * t_two_sided(x, df)
     return tail if x >= 0 else 1 - tail
 
 
 def t_two_sided(x: float, df: float) -> float:
-    return beta_inc(df / 2, 0.5, df / (df + x * x))
+    """P(|T| > |x|), from whichever argument is not close to 1."""
+    return 1 - beta_inc(0.5, df / 2, x * x / (df + x * x)) if x * x < df else beta_inc(df / 2, 0.5, df / (df + x * x))
 
 
 def t_cdf(x: float, df: float) -> float:
