@@ -33,9 +33,9 @@ class ToxicityParams:
     #: The bound of the sample of labelled rows that the model is fitted on.
     max_train_rows: int = 12_000
     epochs: int = 4
-    alpha: float = 0.15
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 6.0
     l2: float = 0.1
     threshold: float = 0.3
     seed: int = 11
