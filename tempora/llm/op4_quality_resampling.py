@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling (ratio of generative models, Gumbel top-k).
 
-Two bag-of-n-grams models over hashed words and pairs of words: one of the target (texts labelled good, outside the
-held-out fold), one of the raw text (all documents). Both are counted over all documents; a task adds its counts
-up in one table, so what is shuffled are tables of a fixed size. The target's counts are smoothed by the raw model: a slot gets
+Two bag-of-n-grams models over hashed words and pairs of words: one of the target (a bounded sample by hash of the texts
+labelled good, outside the held-out fold), one of the raw text, counted over all documents. A task adds its counts
+up in one table, so what is shuffled are tables of a fixed size, and no text. The target's counts are smoothed by the raw model: a slot gets
 ``smooth`` target tokens in the raw proportions, so a slot that the labels say nothing about has ratio 1.
 
 A text's log weight is the sum of its n-grams' log ratios. The sample has k texts: as many as have a mean log ratio of
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkern as K
-from .training import HELD_OUT, fold
+from .training import labelled_sample
 from .workdir import cut
 
 
@@ -36,6 +36,8 @@ class ResamplingParams:
     smooth: float = 0.2
     floor: float = -0.3
     temperature: float = 0.02
+    #: The bound of the sample of good labelled texts that the target model is counted on.
+    max_target_rows: int = 20_000
     seed: int = 14
 
 
@@ -50,7 +52,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray
 
 def log_ratios(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> np.ndarray:
     """The log ratio of each slot: target model over raw model."""
-    good = labels.where((F.col("quality") == 1) & (fold() != HELD_OUT)).select("doc_id").distinct()
+    good = labelled_sample(docs, labels.where("quality = 1"), "quality", p.max_target_rows, p.seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << p.bits, np.int64)
@@ -66,7 +68,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> np.nd
         out[rows["slot"]] = rows["n"]
         return out
 
-    raw, target = model(docs), model(docs.join(good, "doc_id", "left_semi"))
+    raw, target = model(docs), model(good)
     if target.sum() == 0:
         return np.zeros(1 << p.bits)
     share = raw * target.sum() / raw.sum()
