@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from .workdir import cut
 
 
+#: Sources whose plan is broadcast at most.
+MOST_BROADCAST = 100_000
+
+
 @dataclass(frozen=True)
 class MixingParams:
     repeat_limit: float | None = 1.5
@@ -94,8 +98,9 @@ def mix(docs: DataFrame, p: MixingParams = MixingParams()) -> DataFrame:
         blocks = -(-t // p.block_tokens)
         plan.append((s, float(w[s]), int(budget // t), int(budget % t), int(blocks)))
     plan_df = spark.createDataFrame(plan, "_source string, weight double, _full int, _rest long, _blocks long")
-    # One row a source, as many as there are sources: the bound of what is broadcast.
-    placed = sized.join(F.broadcast(plan_df), "_source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(p.seed)), F.col("_blocks")))
+    # One row a source; broadcast only where their number is known to be small.
+    small = F.broadcast if len(plan) <= MOST_BROADCAST else (lambda df: df)
+    placed = sized.join(small(plan_df), "_source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(p.seed)), F.col("_blocks")))
     sums = cut(placed.where("_rest > 0").groupBy("_source", "block", "_full", "_rest").agg(F.sum("_tokens").alias("t")))
     last_order = F.xxhash64("block", "_full", F.lit(p.seed + 1))
     before = sums.withColumn("_before", F.sum("t").over(Window.partitionBy("_source").orderBy(last_order, "block")) - F.col("t"))
@@ -107,7 +112,7 @@ def mix(docs: DataFrame, p: MixingParams = MixingParams()) -> DataFrame:
     edge = edge.withColumn("_ahead", F.col("_before") + F.coalesce(F.sum("_tokens").over(running), F.lit(0)))
     # In the one block of a source that the last pass ends in: the last place, by hash, that is still within the budget.
     ends = edge.where("_ahead < _rest").groupBy("_source", "block").agg(F.max("_h").alias("_edge"))
-    final = drawn.join(F.broadcast(ends), ["_source", "block"], "left").withColumn(
+    final = drawn.join(small(ends), ["_source", "block"], "left").withColumn(
         "_extra", F.when(F.col("_before").isNull(), 0).when(F.col("_whole"), 1).otherwise((inner <= F.col("_edge")).cast("int"))
     )
     times = F.col("_full") + F.coalesce(F.col("_extra"), F.lit(0))

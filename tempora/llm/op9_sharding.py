@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 19, bucket_bytes: int =
 
     def fisher_yates(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        order = pa.compute.sort_indices(table.select([table.schema.get_field_index("doc_id"), table.schema.get_field_index("text")]).rename_columns(["a", "b"]), [("a", "ascending"), ("b", "ascending")])
+        order = pc.sort_indices(table.select([table.schema.get_field_index("doc_id"), table.schema.get_field_index("text")]).rename_columns(["a", "b"]), [("a", "ascending"), ("b", "ascending")])
         rng = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed, spawn_key=(bucket,))))
         place = np.arange(table.num_rows)
         for i, j in zip(range(table.num_rows - 1, 0, -1), rng.integers(0, np.arange(table.num_rows, 1, -1)) if table.num_rows > 1 else (), strict=False):
