@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.ipc  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from .workdir import cut, cut_by
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose keys one bucket is to answer for.
-BUCKET_TEXT_BYTES = 10 << 20
+BUCKET_TEXT_BYTES = 8 << 20
 #: Stands for a missing id, which comes before all others.
 NO_ID = -(1 << 63)
 
@@ -62,6 +64,18 @@ def decode_columns(body: bytes) -> list[np.ndarray]:
     return out
 
 
+def encode_keys(keys: np.ndarray) -> bytes:
+    """A table of 48-bit keys, six bytes each."""
+    return np.ascontiguousarray(keys, np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def decode_keys(body: bytes, width: int) -> np.ndarray:
+    raw = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.reshape(-1).view(np.uint64).reshape(-1, width)
+
+
 class Block:
     """The texts of one block."""
 
@@ -99,7 +113,7 @@ class Block:
         table = pa.ipc.open_stream(raw).read_all().combine_chunks()
         if texts is None:
             texts = pa.Array.from_buffers(pa.binary(), len(self.ids), [None, pa.py_buffer(self.offsets.astype(np.int32)), pa.py_buffer(self.data)]).cast(pa.string())
-            texts = pa.compute.if_else(table.column("text"), texts, pa.scalar(None, pa.string()))
+            texts = pc.if_else(table.column("text"), texts, pa.scalar(None, pa.string()))
         at = table.schema.get_field_index("text")
         table = table.set_column(at, "text", texts).filter(pa.array(keep))
         return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks else pa.array([], c.type) for c in table.columns], schema=table.schema)
@@ -199,12 +213,12 @@ def bits_of(keys: np.ndarray, answer: dict[int, bytes], buckets: int, width: int
     return out
 
 
-def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, list[dict[int, bytes]]], Keys], answer: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
-    """``blocks`` with a column of answers. ``keys`` gives a block's sorted 48-bit keys and columns of
+def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, list[dict[int, bytes]]], Keys], answer: Callable[..., tuple[np.ndarray, ...]], opener: Callable = opened) -> DataFrame:
+    """``blocks`` with a column of answers. ``opener`` reads its rows (blocks by default). ``keys`` gives a block's sorted 48-bit keys and columns of
     values; ``answer`` gets those of all blocks in a bucket, and gives columns of bits."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, got in opened(batches, question):
+        for block, got in opener(batches, question):
             columns = keys(block, got)
             at = bounds(columns[0], buckets)
             where, bodies = [], []

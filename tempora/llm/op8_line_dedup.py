@@ -5,7 +5,7 @@ at its first place (least doc_id, then first in the text): blocks report a line'
 documents reaches its bucket once per block. Of different lines, each has the set of its hashed ``SHINGLE``-character shingles (a shorter line is one
 shingle) and one permutation hashing of ``BANDS * ROWS`` bins, empty bins filled by rotation. A band's key that only one
 line has proposes nothing and never leaves the block; the others become candidates. At Jaccard 0.75 a pair shares none of 16 bands of 4
-rows with a chance of 0.002. Candidates are compared exactly and joined into components without making all pairs of
+rows with a chance of 0.002. Candidates travel as their texts, are compared exactly and joined into components without making all pairs of
 a group (see ``pairs``). Of each component the line with the first place stays, in all other places lines of it go.
 
 Edge cases. A null text is read as an empty one, which has no line with a word. Very long lines are read whole. Equal rows: the
@@ -89,7 +89,10 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
 
 
 def band_keys(line: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
-    """(n, BANDS) keys: one permutation hashing with empty bins filled from the next full bin to the right."""
+    """(n, BANDS) keys: one permutation hashing with empty bins filled from the next full bin to the right.
+
+    A band takes bins that are far apart, as neighbours are often filled from one bin.
+    """
     bins = BANDS * ROWS
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n * bins, empty)
@@ -106,10 +109,21 @@ def band_keys(line: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
         sig[need] = part
     key = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
-        key = K.mix(key + sig[:, r::ROWS])
+        key = K.mix(key + sig[:, r * BANDS : (r + 1) * BANDS])
     return K.mix(key + np.arange(BANDS, dtype=np.uint64))
 
 
+def line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of some lines."""
+    ends = np.cumsum([len(x) for x in lines])
+    line, shingle = line_shingles(np.frombuffer(b"".join(lines), np.uint8), ends - [len(x) for x in lines], ends)
+    order = K.order_within(line, shingle)
+    line, shingle = line[order], shingle[order]
+    keep = B.group_starts(line, shingle)
+    line, shingle = line[keep], shingle[keep]
+    return np.split(shingle, np.searchsorted(line, np.arange(1, len(lines))))
+
+
 def owned_bands(lines: Lines, own: np.ndarray) -> np.ndarray:
     """The 48-bit band keys of some lines of a block."""
     out = np.zeros((len(own), BANDS), np.uint64)
@@ -128,6 +142,19 @@ def owned_slices(lines: Lines, own: np.ndarray) -> Iterator[tuple]:
             yield row, pick, data, lines.start[own[pick]] - base, lines.end[own[pick]] - base
 
 
+class BandRow:
+    """The band keys of the lines that a block owns."""
+
+    def __init__(self, number: int, own: bytes, keys: bytes):
+        self.number, self.own, self.keys = number, np.frombuffer(own, np.int32), B.decode_keys(keys, BANDS)
+
+    @classmethod
+    def opened(cls, batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield cls(r["block"], r["own"], r["keys"]), [{x["bucket"]: x["bits"] for x in r[f"answer{k}"] or ()} for k in range(answers)]
+
+
 def judged_lines(docs: DataFrame, whole_rows: bool = False):
     """(blocks with the answers and the near-duplicate lines, a function that gives a block's lines and which of them go)."""
     packed = B.pack(docs, whole_rows=whole_rows)
@@ -143,47 +170,64 @@ def judged_lines(docs: DataFrame, whole_rows: bool = False):
         (later,) = B.bits_of(lines.hash[at] >> np.uint64(16), got[0], buckets, 1)
         return lines, at[~later], later
 
-    def bands(block: B.Block, got: list) -> tuple[np.ndarray, ...]:
-        lines, own, _ = owners_of(block, got)
-        keys = owned_bands(lines, own)
-        return B.counted(keys.ravel(), np.repeat(np.arange(len(own)), BANDS))
-
     asked = B.ask(packed, 0, buckets, line_keys, first_answer)
-    asked = B.ask(asked, 1, buckets, bands, B.shared_answer)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, got in B.opened(batches, 2):
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, got in B.opened(batches, 1):
             lines, own, _ = owners_of(block, got)
-            keys = owned_bands(lines, own)
-            sent = np.unique(keys)
-            (shared,) = B.bits_of(sent, got[1], buckets, 1)
-            some = shared[np.searchsorted(sent, keys)] if len(sent) else np.zeros(keys.shape, bool)
-            chosen = some.any(axis=1)
-            own, keys, some = own[chosen], keys[chosen], some[chosen]
-            for _, pick, data, starts, ends in owned_slices(lines, own):
-                line, shingle = line_shingles(data, starts, ends)
-                order = K.order_within(line, shingle)
-                line, shingle = line[order], shingle[order]
-                keep = B.group_starts(line, shingle)
-                line, shingle = line[keep], shingle[keep]
-                cuts = np.searchsorted(line, np.arange(len(pick) + 1))
-                at = own[pick]
-                yield pa.record_batch(
-                    [
-                        pa.array(lines.hash[at].view(np.int64)),
-                        pa.array(np.diff(cuts)),
-                        pa.array([shingle[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                        pa.array([k[s].view(np.int64).tolist() for k, s in zip(keys[pick], some[pick], strict=True)], pa.list_(pa.int64())),
-                        pa.array((lines.rank[at] ^ np.uint64(1 << 63)).view(np.int64)),
-                        pa.array(lines.number[at]),
-                        pa.array([block.number] * len(pick), pa.int64()),
-                    ],
-                    ["node", "n", "members", "keys", "doc", "number", "block"],
-                )
+            yield pa.record_batch([pa.array([block.number]), pa.array([own.astype(np.int32).tobytes()], pa.binary()), pa.array([B.encode_keys(owned_bands(lines, own))], pa.binary())], ["block", "own", "keys"])
+
+    # Signatures are made once; what is kept of them are the band keys.
+    bands = B.ask(cut(asked.mapInArrow(compute, "block long, own binary, keys binary")), 0, buckets, lambda row, _: B.counted(row.keys.ravel(), np.repeat(np.arange(len(row.keys)), BANDS)), B.class_answer, opener=BandRow.opened)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, got in BandRow.opened(batches, 1):
+            sent = np.unique(row.keys)
+            bits = B.bits_of(sent, got[0], buckets, B.CLASS_BITS)
+            classes = sum(c.astype(np.int64) << k for k, c in enumerate(bits)) if len(sent) else np.zeros(0, np.int64)
+            own = classes[np.searchsorted(sent, row.keys)] if len(sent) else np.zeros(row.keys.shape, np.int64)
+            chosen = (own > 0).any(axis=1)
+            some = own[chosen] > 0
+            yield pa.record_batch(
+                [pa.array([row.number]), pa.array([row.own[chosen].tobytes()], pa.binary()), pa.array([B.encode_keys(row.keys[chosen])], pa.binary()), pa.array([np.packbits(some).tobytes()], pa.binary()), pa.array([own[chosen].sum(axis=1).astype(np.int16).tobytes()], pa.binary())],
+                ["block", "own", "keys", "some", "often"],
+            )
+
+    chosen_lines = cut(bands.mapInArrow(choose, "block long, own binary, keys binary, some binary, often binary"))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("own", "keys", "some", "often")]
+            for (block, _), own, keys, some, often in zip(B.opened(iter([batch]), 0), *parts, strict=True):
+                own = np.frombuffer(own, np.int32).astype(np.int64)
+                if not len(own):
+                    continue
+                lines, keys = Lines(block), B.decode_keys(keys, BANDS)
+                some = np.unpackbits(np.frombuffer(some, np.uint8))[: keys.size].reshape(keys.shape).astype(bool)
+                odd = BANDS * ((1 << B.CLASS_BITS) - 1) - np.frombuffer(often, np.int16)
+                for _, pick, data, starts, ends in owned_slices(lines, own):
+                    line, shingle = line_shingles(data, starts, ends)
+                    order = K.order_within(line, shingle)
+                    size = np.bincount(line[order][B.group_starts(line[order], shingle[order])], minlength=len(pick))
+                    at = own[pick]
+                    yield pa.record_batch(
+                        [
+                            pa.array(lines.hash[at].view(np.int64)),
+                            pa.array(size),
+                            pa.array([data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                            pa.array([k[s].view(np.int64) for k, s in zip(keys[pick], some[pick], strict=True)], pa.list_(pa.int64())),
+                            pa.array(odd[pick].astype(np.int32)),
+                            pa.array((lines.rank[at] ^ np.uint64(1 << 63)).view(np.int64)),
+                            pa.array(lines.number[at]),
+                            pa.array([block.number] * len(pick), pa.int64()),
+                        ],
+                        ["node", "n", "members", "keys", "odd", "doc", "number", "block"],
+                    )
 
     scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(asked.mapInArrow(candidates, "node long, n long, members binary, keys array<long>, doc long, number long, block long"))
-    comps = near_components(found, lambda wanted: found.select("node", "n", "members").join(wanted, "node"), PERCENT, scratch)
+    with_lines = packed.join(chosen_lines.hint("merge"), "block")
+    found = scratch.keep(with_lines.mapInArrow(candidates, "node long, n long, members binary, keys array<long>, odd int, doc long, number long, block long"))
+    comps = near_components(found, lambda wanted: found.select("node", "n", "members").join(wanted, "node"), PERCENT, scratch, line_sets, few_keys=True)
     placed = comps.join(found.select("node", F.struct("doc", "number", "node").alias("place")), "node")
     stays = placed.groupBy("comp").agg(F.min("place").alias("first"))
     gone = placed.join(stays, "comp").where(F.col("place") != F.col("first")).select("node")
@@ -205,7 +249,7 @@ def judged_lines(docs: DataFrame, whole_rows: bool = False):
 def each_judged(batches: Iterator[pa.RecordBatch], judge) -> Iterator[tuple[B.Block, Lines, np.ndarray]]:
     for batch in batches:
         near = batch.column(batch.schema.get_field_index("near")).to_pylist()
-        for (block, got), own in zip(B.opened(iter([batch]), 2), near, strict=True):
+        for (block, got), own in zip(B.opened(iter([batch]), 1), near, strict=True):
             yield block, *judge(block, got, own)
 
 

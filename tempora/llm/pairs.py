@@ -1,17 +1,19 @@
 """Connected components of sets whose Jaccard similarity reaches a threshold.
 
 ``nodes`` has one row for each different set: node (a long), n (its size), keys. Keys are made so that two sets
-that reach the threshold share one. Where they are a prefix of an order of all members, place is that of the first. The members
+that reach the threshold share one. Where they are a prefix of an order of all members, place is that of the first, and the
+members before it are in no other set. The members
 themselves (sorted 64-bit hashes as bytes) are fetched only for nodes that share a key. Only connectedness is asked for, so not
 all pairs of a key's group are made:
 
-1. tiles: sets of like size (bands a factor of 4/3 wide; sets that can reach the threshold are in one
-   band or in neighbouring ones) that share a key have a pivot in their band and in the band below, drawn by hash. A
-   node is compared with the first by hash of the pivots of its keys, so many copies of one text all meet one pivot;
-2. what is linked becomes one component; groups that lie in one component are done. In the others a new pivot is
-   drawn, as long as that links more and many pairs are left;
-3. in groups that still hold several components, every pair of different components is compared that the places
-   of the shared key leave possible. So no link is lost, whatever the groups look like.
+1. sets of like size (bands a factor of 4/3 wide; sets that can reach the threshold are in one
+   band or in neighbouring ones) that share a key have a pivot in their band and in the band below: the least odd of them, ties
+   drawn by hash. A node is compared with the first of the pivots of its keys, so many copies of one text all meet one pivot;
+2. what is linked becomes one component; groups that lie in one component are done. Small others are joined with themselves,
+   pairs of different components only;
+3. larger ones are dealt into tiles of at most ``TILE`` nodes of a group, and each pair of tiles is one task's: bitmaps of all its nodes are held
+   against those of the nodes outside its largest component at once, and only pairs that pass leave it. So no link is lost, whatever the groups look like, and what a
+   task holds is bounded.
 
 A pair is first held against hashed bitmaps: each set bit that the other has not is at least one member
 that the other has not, which bounds the overlap from above. Pairs that pass are compared exactly, by
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 
 from .workdir import Scratch
 
-BITMAP_LONGS = 8
-#: Of drawing pivots; what is open after them is compared pair by pair.
-MOST_ROUNDS = 6
+BITMAP_LONGS = 32
+#: Groups of more nodes than these are compared in tiles.
+SMALL = 8
+TILE = 1024
 
 
 def band(n: Column) -> Column:
@@ -57,7 +60,15 @@ def overlap_bound() -> Column:
     return F.least(F.col("a_n") - lone(a, b), F.col("b_n") - lone(b, a))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+Unpack = Callable[[list[bytes]], list[np.ndarray]]
+
+
+def sorted_hashes(members: list[bytes]) -> list[np.ndarray]:
+    """Members that travel as their sorted 64-bit hashes."""
+    return [np.frombuffer(x, np.uint64) for x in members]
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int, unpack: Unpack) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold."""
     light = nodes.select("node", "n", "bits")
     side = lambda x: light.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in light.columns))
@@ -69,10 +80,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
-            for i in range(len(a)):
-                x, y = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            for at in range(0, len(a), 256):
+                left, right = (unpack([x.as_py() for x in batch.column(c).slice(at, 256)]) for c in (2, 3))
+                for x, y in zip(left, right, strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
             yield pa.record_batch([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"])
 
@@ -99,71 +111,110 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unpack: Unpack = sorted_hashes, few_keys: bool = False) -> DataFrame:
     """(node, comp) of every node that is linked with another; see the module's text.
 
-    ``fetch`` gives (node, n, members) for a table of nodes. Rows that share a node (rows of one document's id) count as linked."""
+    ``few_keys``: keys are few and all are known to be shared; they then travel to the tiles, which pass a pair on for its least key only.
+
+    ``fetch`` gives (node, n, members) for a table of nodes, and ``unpack`` the sorted hashes of some members. Rows that share a node (rows of one document's id) count as linked."""
 
     def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column(batch.schema.get_field_index("members"))
-            bits = [bitmap(np.frombuffer(x.as_buffer(), np.uint64)).tolist() for x in members]
+            bits = [bitmap(x).tolist() for at in range(0, len(members), 256) for x in unpack([m.as_py() for m in members.slice(at, 256)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.list_(pa.int64()))], names=[*batch.schema.names, "bits"])
 
-    place = F.col("place") if "place" in nodes.columns else F.lit(None).cast("long")
-    entries = nodes.select("node", "n", band(F.col("n")).alias("band"), place.alias("place"), F.posexplode("keys").alias("at", "key")).withColumn("place", F.col("place") + F.col("at")).drop("at")
-    met = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-    entries = scratch.keep(entries.join(met, "key").distinct())
+    nodes_columns = nodes.columns
+    alone = F.col("place") if "place" in nodes.columns else F.lit(0)
+    odd = F.col("odd") if "odd" in nodes.columns else alone * 16 / F.col("n")
+    entries = nodes.select("node", "n", band(F.col("n")).alias("band"), alone.cast("long").alias("alone"), odd.cast("int").alias("odd"), F.posexplode("keys").alias("at", "key"), *(["keys"] if few_keys else []))
+    if few_keys:
+        entries = scratch.keep(entries.distinct())
+    else:
+        met = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
+        entries = scratch.keep(entries.join(met, "key").distinct())
     wanted = entries.select("node").distinct()
     nodes = scratch.keep(fetch(wanted).select("node", "n", "members").mapInArrow(with_bits, "node long, n long, members binary, bits array<long>"))
-    fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    # Members that one set has alone are in no overlap.
+    least = needed(F.col("a_n"), F.col("b_n"), percent)
+    fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (F.least(F.col("a_n") - F.col("a_alone"), F.col("b_n") - F.col("b_alone")) >= least)
 
     def starred(open_entries: DataFrame, seed: int) -> DataFrame:
         """For each node the first pivot, by hash, of its keys in its band, and the first in the band below."""
-        pivots = open_entries.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n")).alias("p"))
-        own = open_entries.join(pivots, ["key", "band"]).withColumn("below", F.lit(0))
-        below = open_entries.join(pivots.withColumn("band", F.col("band") + 1), ["key", "band"]).withColumn("below", F.lit(1))
-        pair = own.unionByName(below).select(F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("p.n").alias("b_n"), "p", "below")
+        pivots = open_entries.groupBy("key", "band").agg(F.min(F.struct("odd", F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "alone")).alias("p"))
+        near = pivots.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("below"))
+        pair = open_entries.select("key", "band", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("alone").alias("a_alone")).join(near, ["key", "band"])
+        pair = pair.withColumns({"b_n": F.col("p.n"), "b_alone": F.col("p.alone")})
         first = pair.where((F.col("x") != F.col("p.node")) & fits).groupBy("x", "below").agg(F.min("p").alias("p"))
         return first.select(F.least("x", "p.node").alias("a"), F.greatest("x", "p.node").alias("b")).distinct()
 
     def undone(links: DataFrame) -> DataFrame:
-        """The entries of keys whose nodes are not all in one component yet, with their components."""
+        """The entries of keys whose nodes are not all in one component yet, with their components and the number of entries."""
         comps = components(links, scratch)
         with_comp = scratch.keep(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
         scratch.drop(comps)
-        several = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        several = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("key", "m")
         left = scratch.keep(with_comp.join(several, "key"))
         scratch.drop(with_comp)
         return left
 
-    def pairs_left(left: DataFrame) -> int:
-        """Pairs of different components over all open groups."""
-        by_comp = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        by_key = by_comp.groupBy("key").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("p"))
-        return int((by_key.agg(F.sum("p")).first()[0] or 0) / 2)
-
-    links = scratch.keep(verified(starred(entries, 1), nodes, percent))
+    links = scratch.keep(verified(starred(entries, 1), nodes, percent, unpack))
     left = undone(links)
-    open_pairs, size = pairs_left(left), entries.count()
-    for seed in range(2, MOST_ROUNDS + 1):
-        if open_pairs <= size:
-            break
-        more = scratch.keep(verified(starred(left, seed), nodes, percent))
-        both = scratch.keep(links.union(more))
-        scratch.drop(more)
-        scratch.drop(links)
-        scratch.drop(left)
-        links, left, before = both, undone(both), open_pairs
-        open_pairs = pairs_left(left)
-        if open_pairs > 0.9 * before:
-            break
-    x, y = (left.select("key", *(F.col(c).alias(f"{k}_{c}" if c != "node" else k) for c in ("node", "n", "band", "comp", "place"))) for k in "ab")
-    possible = F.least("a_place", "b_place") + 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) - 1
-    likely = F.coalesce(possible >= needed(F.col("a_n"), F.col("b_n"), percent), F.lit(True))
+    few, many = left.where(F.col("m") <= SMALL), left.where(F.col("m") > SMALL)
+    x, y = (few.select("key", *(F.col(c).alias(f"{k}_{c}" if c != "node" else k) for c in ("node", "n", "band", "comp", "alone", "at"))) for k in "ab")
+    # Of the members before a shared key, none that is alone is shared, nor more than the other has before it.
+    possible = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_alone") - F.col("a_at"), F.col("b_n") - F.col("b_alone") - F.col("b_at"))
+    likely = (possible >= least) if "place" in nodes_columns else F.lit(True)
     rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & fits & likely)
-    last = scratch.keep(verified(rest.select("a", "b").distinct(), nodes, percent))
+    pairs = rest.select("a", "b").union(tiled(many.join(nodes.select("node", "bits"), "node"), percent)).distinct()
+    last = scratch.keep(verified(pairs, nodes, percent, unpack))
     found = components(links.union(last), scratch)
     for table in (links, last, left, entries, nodes):
         scratch.drop(table)
     return found
+
+
+def tiled(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in each key's group that their bitmaps and lone members leave possible."""
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    tile = F.pmod(F.xxhash64("node"), tiles)
+    dealt = entries.withColumn("_t", tile).withColumn("_s", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    with_keys = "keys" in entries.columns
+    dealt = dealt.select("key", F.least("_t", "_s").cast("int").alias("t"), F.greatest("_t", "_s").cast("int").alias("s"), "node", "n", "alone", "comp", "bits", F.col("_t").cast("int").alias("own"), *(["keys"] if with_keys else []))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        node, n, alone, comp, own = (table.column(c).to_numpy() for c in ("node", "n", "alone", "comp", "own"))
+        bits = np.array(table.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(-1, BITMAP_LONGS)
+        _, place = np.unique(comp, return_inverse=True)
+        largest = np.bincount(place).argmax()
+        this, lower = key[0].as_py(), None
+        if with_keys:  # of each node, which of the keys below this one it has
+            lists = [x.as_py() for x in table.column("keys")]
+            below = sorted({k for x in lists for k in x if k < this})
+            at = {k: i for i, k in enumerate(below)}
+            lower = np.zeros((len(node), max(1, len(below))), bool)
+            for i, x in enumerate(lists):
+                lower[i, [at[k] for k in x if k < this]] = True
+        shared, across = n - alone, key[1].as_py() != key[2].as_py()
+        a, b = [], []
+        for i in np.flatnonzero(place != largest):
+            # Each pair once: with the largest component from here, among the others from the later one.
+            other = (place != place[i]) & ((place == largest) | (np.arange(len(node)) < i))
+            if across:
+                other &= own != own[i]
+            j = np.flatnonzero(other)
+            least = -(-(n[i] + n[j]) * percent // (100 + percent))
+            j = j[(np.minimum(shared[i], shared[j]) >= least) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)]
+            least = -(-(n[i] + n[j]) * percent // (100 + percent))
+            here = n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1)
+            there = n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1)
+            j = j[np.minimum(here, there) >= least]
+            if lower is not None:
+                j = j[~(lower[j] & lower[i]).any(axis=1)]
+            a.append(np.minimum(node[i], node[j]))
+            b.append(np.maximum(node[i], node[j]))
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        keep = a != b
+        return pa.table([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return dealt.groupBy("key", "t", "s").applyInArrow(compare, "a long, b long")

@@ -3,9 +3,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tempora.llm import blocks as B
+from tempora.llm import pairs
 from tempora.llm.op10_ngram_join import ngram_components
 
 from .fixtures import documents, texts, words
@@ -56,8 +58,10 @@ def near_copies(seed, n=120):
     return out
 
 
-@pytest.mark.parametrize("seed,block_bytes", [(1, 2000), (2, 6 << 20), (3, 5000)])
-def test_components(spark, monkeypatch, seed, block_bytes):
+@pytest.mark.parametrize("seed,block_bytes,tile", [(1, 2000, 1024), (2, 6 << 20, 4), (3, 5000, 3)])
+def test_components(spark, monkeypatch, seed, block_bytes, tile):
+    monkeypatch.setattr(pairs, "SMALL", 8 if tile > 9 else 2)
+    monkeypatch.setattr(pairs, "TILE", tile)
     monkeypatch.setattr(B, "BLOCK_BYTES", block_bytes)
     monkeypatch.setattr(B, "bucket_count", lambda *_: 3)
     rows = list(enumerate(texts(seed, 40) + near_copies(seed)))
@@ -75,3 +79,23 @@ def test_real(spark):
 def test_empty(spark):
     assert ngram_components(documents(spark, [])).count() == 0
     assert [tuple(r) for r in ngram_components(documents(spark, [(4, None), (5, "")])).orderBy("doc_id").collect()] == [(4, 0, 4), (5, 0, 5)]
+
+
+def test_tiles(spark):
+    """All pairs of different components that reach the threshold leave the tiles, each once a tile."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(40):
+        own = base.copy()
+        own[rng.random(60) < rng.random() * 0.3] = rng.integers(1, 1 << 62, dtype=np.uint64)
+        sets.append(np.unique(own))
+    rows = [(k, len(s), 0, int(k % 3), 9, len(sets), pairs.bitmap(s).tolist()) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, n long, alone long, comp long, key long, m long, bits array<long>")
+    got = {(r.a, r.b) for r in pairs.tiled(df, 75).collect()}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a % 3 != b % 3 and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                assert (a, b) in got
+    assert all(a < b and a % 3 != b % 3 for a, b in got)
