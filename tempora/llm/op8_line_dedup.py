@@ -227,7 +227,7 @@ def judged_lines(docs: DataFrame, whole_rows: bool = False):
     scratch = Scratch(docs.sparkSession)
     with_lines = packed.join(chosen_lines.hint("merge"), "block")
     found = scratch.keep(with_lines.mapInArrow(candidates, "node long, n long, members binary, keys array<long>, odd int, doc long, number long, block long"))
-    comps = near_components(found, lambda wanted: found.select("node", "n", "members").join(wanted, "node"), PERCENT, scratch, line_sets, few_keys=True)
+    comps = near_components(found, lambda wanted: found.select("node", "n", "members").join(wanted, "node"), PERCENT, scratch, line_sets, shared_keys=True)
     placed = comps.join(found.select("node", F.struct("doc", "number", "node").alias("place")), "node")
     stays = placed.groupBy("comp").agg(F.min("place").alias("first"))
     gone = placed.join(stays, "comp").where(F.col("place") != F.col("first")).select("node")

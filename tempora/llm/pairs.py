@@ -111,10 +111,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unpack: Unpack = sorted_hashes, few_keys: bool = False) -> DataFrame:
+def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unpack: Unpack = sorted_hashes, shared_keys: bool = False) -> DataFrame:
     """(node, comp) of every node that is linked with another; see the module's text.
 
-    ``few_keys``: keys are few and all are known to be shared; they then travel to the tiles, which pass a pair on for its least key only.
+    ``shared_keys``: all keys are known to be shared.
 
     ``fetch`` gives (node, n, members) for a table of nodes, and ``unpack`` the sorted hashes of some members. Rows that share a node (rows of one document's id) count as linked."""
 
@@ -124,11 +124,11 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
             bits = [bitmap(x).tolist() for at in range(0, len(members), 256) for x in unpack([m.as_py() for m in members.slice(at, 256)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.list_(pa.int64()))], names=[*batch.schema.names, "bits"])
 
-    nodes_columns = nodes.columns
+    given, nodes_columns = nodes, nodes.columns
     alone = F.col("place") if "place" in nodes.columns else F.lit(0)
     odd = F.col("odd") if "odd" in nodes.columns else alone * 16 / F.col("n")
-    entries = nodes.select("node", "n", band(F.col("n")).alias("band"), alone.cast("long").alias("alone"), odd.cast("int").alias("odd"), F.posexplode("keys").alias("at", "key"), *(["keys"] if few_keys else []))
-    if few_keys:
+    entries = nodes.select("node", "n", band(F.col("n")).alias("band"), alone.cast("long").alias("alone"), odd.cast("int").alias("odd"), F.posexplode("keys").alias("at", "key"))
+    if shared_keys:
         entries = scratch.keep(entries.distinct())
     else:
         met = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
@@ -166,7 +166,10 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
     possible = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_alone") - F.col("a_at"), F.col("b_n") - F.col("b_alone") - F.col("b_at"))
     likely = (possible >= least) if "place" in nodes_columns else F.lit(True)
     rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & fits & likely)
-    pairs = rest.select("a", "b").union(tiled(many.join(nodes.select("node", "bits"), "node"), percent)).distinct()
+    # A pair leaves the tiles for its least key only; a node of several sets (rows that share an id) passes for every key.
+    keyed = given.select("node", "keys").join(many.select("node").distinct(), "node").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("keys").alias("keys"))
+    keyed = keyed.select("node", F.when(F.col("c") == 1, F.col("keys")).otherwise(F.array().cast("array<long>")).alias("keys"))
+    pairs = rest.select("a", "b").union(tiled(many.join(nodes.select("node", "bits"), "node").join(keyed, "node"), percent)).distinct()
     last = scratch.keep(verified(pairs, nodes, percent, unpack))
     found = components(links.union(last), scratch)
     for table in (links, last, left, entries, nodes):
@@ -179,22 +182,21 @@ def tiled(entries: DataFrame, percent: int) -> DataFrame:
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles)
     dealt = entries.withColumn("_t", tile).withColumn("_s", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    with_keys = "keys" in entries.columns
-    dealt = dealt.select("key", F.least("_t", "_s").cast("int").alias("t"), F.greatest("_t", "_s").cast("int").alias("s"), "node", "n", "alone", "comp", "bits", F.col("_t").cast("int").alias("own"), *(["keys"] if with_keys else []))
+    dealt = dealt.select("key", F.least("_t", "_s").cast("int").alias("t"), F.greatest("_t", "_s").cast("int").alias("s"), "node", "n", "alone", "comp", "bits", F.col("_t").cast("int").alias("own"), "keys")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, n, alone, comp, own = (table.column(c).to_numpy() for c in ("node", "n", "alone", "comp", "own"))
         bits = np.array(table.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(-1, BITMAP_LONGS)
         _, place = np.unique(comp, return_inverse=True)
         largest = np.bincount(place).argmax()
-        this, lower = key[0].as_py(), None
-        if with_keys:  # of each node, which of the keys below this one it has
-            lists = [x.as_py() for x in table.column("keys")]
-            below = sorted({k for x in lists for k in x if k < this})
-            at = {k: i for i, k in enumerate(below)}
-            lower = np.zeros((len(node), max(1, len(below))), bool)
-            for i, x in enumerate(lists):
-                lower[i, [at[k] for k in x if k < this]] = True
+        # Of each node, which of the keys below this one it has.
+        lists = table.column("keys").combine_chunks()
+        flat = lists.flatten().to_numpy()
+        of = np.repeat(np.arange(len(node)), np.asarray(lists.value_lengths()))
+        under = flat < key[0].as_py()
+        below, column = np.unique(flat[under], return_inverse=True)
+        lower = np.zeros((len(node), max(1, len(below))), bool)
+        lower[of[under], column] = True
         shared, across = n - alone, key[1].as_py() != key[2].as_py()
         a, b = [], []
         for i in np.flatnonzero(place != largest):
@@ -209,8 +211,7 @@ def tiled(entries: DataFrame, percent: int) -> DataFrame:
             here = n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1)
             there = n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1)
             j = j[np.minimum(here, there) >= least]
-            if lower is not None:
-                j = j[~(lower[j] & lower[i]).any(axis=1)]
+            j = j[~(lower[j] & lower[i]).any(axis=1)]
             a.append(np.minimum(node[i], node[j]))
             b.append(np.maximum(node[i], node[j]))
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))

@@ -90,8 +90,8 @@ def test_tiles(spark):
         own = base.copy()
         own[rng.random(60) < rng.random() * 0.3] = rng.integers(1, 1 << 62, dtype=np.uint64)
         sets.append(np.unique(own))
-    rows = [(k, len(s), 0, int(k % 3), 9, len(sets), pairs.bitmap(s).tolist()) for k, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "node long, n long, alone long, comp long, key long, m long, bits array<long>")
+    rows = [(k, len(s), 0, int(k % 3), 9, len(sets), pairs.bitmap(s).tolist(), [9]) for k, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, n long, alone long, comp long, key long, m long, bits array<long>, keys array<long>")
     got = {(r.a, r.b) for r in pairs.tiled(df, 75).collect()}
     for a in range(40):
         for b in range(a + 1, 40):
