@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from . import textkern as K
 
 #: Pieces whose ids a worker remembers; beyond them it starts anew.
-MAX_KNOWN = 800_000
+MAX_KNOWN = 300_000
 
 
 def default_ranks() -> str:
@@ -72,7 +72,7 @@ class Codec:
             if len(token) > 1:
                 left, right = self._last_merge(token, rank, ranks)
                 merges.append((named[left], named[right]))
-        model = models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=200_000)
+        model = models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=0)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cuts = pattern == default_pattern()
