@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracle
 from .op10_ngram_join import ngram_components
 from .op1_toxicity import toxicity
 from .op2_quality_rules import quality_rules
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_suffix_dedup": oracle.REPEATS, "op10_ngram_join": oracle.NGRAM_COMPONENTS}
