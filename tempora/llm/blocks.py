@@ -190,6 +190,7 @@ def opened(batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple[Bl
         for i in range(batch.num_rows):
             got = [{x["bucket"]: x["bits"] for x in columns[f"answer{k}"][i].as_py() or ()} for k in range(answers)]
             yield Block(*(columns[c][i].as_py() for c in ("block", "ids", "offsets", "body", "carry"))), got
+    K.release()
 
 
 Keys = tuple[np.ndarray, ...]
@@ -238,6 +239,8 @@ def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, l
             if any(c.any() for c in own):
                 numbers.append(number)
                 bodies.append(zstandard.ZstdCompressor(level=1).compress(b"".join(np.packbits(c).tobytes() for c in own)))
+        del got, bits
+        K.release()
         return pa.table([pa.array(numbers, pa.int64()), pa.array([key[0].as_py()] * len(numbers), pa.int32()), pa.array(bodies, pa.binary())], ["block", "bucket", "bits"])
 
     sent = blocks.mapInArrow(send, "bucket int, block long, body binary")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import textkern as K
-from .pairs import components, near_components
+from .pairs import bitmap, components, near_components
 from .workdir import Scratch, cut
 
 SIZE = 5
@@ -117,7 +117,7 @@ def prefixed(packed: DataFrame, size: int, percent: int, scratch: Scratch) -> Da
 
 
 def sets_of(packed: DataFrame, places: DataFrame, size: int) -> DataFrame:
-    """(node, n, members) of the documents at some places (block, nth, node); texts are read in their blocks."""
+    """(node, n, members, bits) of the documents at some places (block, nth, node); texts are read in their blocks."""
     each = cut(places.groupBy("block").agg(F.collect_list(F.struct("nth", "node")).alias("some")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +127,13 @@ def sets_of(packed: DataFrame, places: DataFrame, size: int) -> DataFrame:
                 part = B.Block.of_texts(block, nth)
                 text, h = block_sets(part, size)
                 first = np.searchsorted(text, np.arange(len(nth) + 1))
+                sets = [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.record_batch(
-                    [pa.array([x["node"] for x in some], pa.int64()), pa.array(np.diff(first)), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())],
-                    ["node", "n", "members"],
+                    [pa.array([x["node"] for x in some], pa.int64()), pa.array(np.diff(first)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))],
+                    ["node", "n", "members", "bits"],
                 )
 
-    return packed.join(each.hint("merge"), "block").mapInArrow(run, "node long, n long, members binary")
+    return packed.join(each.hint("merge"), "block").mapInArrow(run, "node long, n long, members binary, bits array<long>")
 
 
 def linked(packed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -116,7 +116,7 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
 
     ``shared_keys``: all keys are known to be shared.
 
-    ``fetch`` gives (node, n, members) for a table of nodes, and ``unpack`` the sorted hashes of some members. Rows that share a node (rows of one document's id) count as linked."""
+    ``fetch`` gives (node, n, members, and maybe their bitmaps as bits) for a table of nodes, and ``unpack`` the sorted hashes of some members. Rows that share a node (rows of one document's id) count as linked."""
 
     def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +134,10 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
         met = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
         entries = scratch.keep(entries.join(met, "key").distinct())
     wanted = entries.select("node").distinct()
-    nodes = scratch.keep(fetch(wanted).select("node", "n", "members").mapInArrow(with_bits, "node long, n long, members binary, bits array<long>"))
+    fetched = fetch(wanted)
+    if "bits" not in fetched.columns:
+        fetched = fetched.select("node", "n", "members").mapInArrow(with_bits, "node long, n long, members binary, bits array<long>")
+    nodes = scratch.keep(fetched)
     # Members that one set has alone are in no overlap.
     least = needed(F.col("a_n"), F.col("b_n"), percent)
     fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (F.least(F.col("a_n") - F.col("a_alone"), F.col("b_n") - F.col("b_alone")) >= least)

@@ -8,11 +8,26 @@ Python object is made per word, and every text is read whole: a slice holds whol
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and several live beside an executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 #: Bytes of text that one kernel call works on; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -129,6 +144,7 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         end = min(end, n)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    release()
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
