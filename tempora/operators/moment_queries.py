@@ -93,9 +93,9 @@ def bk_filter(spark, d):
     return rounded(M.bk_filter(S.monthly(spark, d), "y", "t"))
 
 
-@query("hamilton_random_walk", f"SELECT * FROM (SELECT t, round(y - lag(y, 8) OVER (ORDER BY t), 6) + 0.0 AS cycle FROM ({S.MONTHLY})) WHERE cycle IS NOT NULL")
+@query("hamilton_random_walk", f"SELECT * FROM (SELECT t, round(y - lag(y, 8) OVER (ORDER BY t), 8) + 0.0 AS cycle FROM ({S.MONTHLY})) WHERE cycle IS NOT NULL")
 def hamilton_random_walk(spark, d):
-    return rounded(M.hamilton_random_walk(S.monthly(spark, d), "y", "t"))
+    return rounded(M.hamilton_random_walk(S.monthly(spark, d), "y", "t"), 8)
 
 
 def _frac_sql(order: float) -> str:
@@ -256,27 +256,27 @@ _ORIGIN = f"s AS (SELECT y, row_number() OVER (ORDER BY t) AS rn, avg(y) OVER (O
 
 
 def _backtest_sql(forecast: str, extra: str = "") -> str:
-    return f"WITH {_ORIGIN} SELECT CAST(o.rn AS INTEGER) AS origin, CAST(h.h AS INTEGER) AS h, round({forecast}, 6) + 0.0 AS forecast, round(a.y, 6) + 0.0 AS actual FROM s o, h JOIN s a ON a.rn = o.rn + h.h {extra} WHERE o.rn >= 24"
+    return f"WITH {_ORIGIN} SELECT CAST(o.rn AS INTEGER) AS origin, CAST(h.h AS INTEGER) AS h, round({forecast}, 8) + 0.0 AS forecast, round(a.y, 8) + 0.0 AS actual FROM s o, h JOIN s a ON a.rn = o.rn + h.h {extra} WHERE o.rn >= 24"
 
 
 @query("backtest", _backtest_sql("o.y"))
 def backtest(spark, d):
-    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3))
+    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3), 8)
 
 
 @query("backtest_mean", _backtest_sql("o.mean"))
 def backtest_mean(spark, d):
-    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3, forecaster="mean"))
+    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3, forecaster="mean"), 8)
 
 
 @query("backtest_drift", _backtest_sql("o.y + h.h * (o.y - o.head) / (o.rn - 1)"))
 def backtest_drift(spark, d):
-    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3, forecaster="drift"))
+    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3, forecaster="drift"), 8)
 
 
 @query("backtest_seasonal", _backtest_sql("p.y", "JOIN s p ON p.rn = o.rn - 12 + h.h"))
 def backtest_seasonal(spark, d):
-    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3, forecaster="seasonal_naive", period=12))
+    return rounded(M.backtest(S.monthly(spark, d), "y", "t", train=24, horizon=3, forecaster="seasonal_naive", period=12), 8)
 
 
 @query(
