@@ -34,7 +34,9 @@ from pyspark.sql import DataFrame
 from . import textkern as K
 
 #: Pieces whose ids a worker remembers; beyond them it starts anew.
-MAX_KNOWN = 300_000
+MAX_KNOWN = 150_000
+#: Pieces that the library gets at once.
+CALL_PIECES = 8_192
 
 
 def default_ranks() -> str:
@@ -97,7 +99,10 @@ class Codec:
         self._begin, self._flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[list[int]] = []
+        for at in range(0, len(texts), CALL_PIECES):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL_PIECES], add_special_tokens=False)]
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """All ids of a slice of texts, where each text's begin and end, and the bytes of each id.
@@ -165,7 +170,9 @@ class Codec:
 @lru_cache(maxsize=4)
 def codec(ranks_path: str, pattern: str) -> Codec:
     """A worker process builds each vocabulary once."""
-    return Codec(ranks_path, pattern)
+    made = Codec(ranks_path, pattern)
+    K.release()
+    return made
 
 
 def encode(docs: DataFrame, text: str = "text", into: str = "ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
