@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling (ratio of generative models, Gumbel top-k).
 
 Two bag-of-n-grams models over hashed words and pairs of words: one of the target (a bounded sample by hash of the texts
-labelled good, outside the held-out fold), one of the raw text, counted over all documents. A task adds its counts
-up in one table, so what is shuffled are tables of a fixed size, and no text. The target's counts are smoothed by the raw model: a slot gets
+labelled good, outside the held-out fold), one of the raw text, counted over all documents. The hash table has a slot for every ``slot_grams`` n-grams
+of the corpus (2 ** ``bits`` at least), so as much shares a slot in a large corpus as in a small one. No task holds the table: blocks of documents
+send their own slots' counts to buckets and get the sums over all blocks back (see ``blocks``). The target's counts are smoothed by the raw model: a slot gets
 ``smooth`` target tokens in the raw proportions, so a slot that the labels say nothing about has ratio 1.
 
 A text's log weight is the sum of its n-grams' log ratios. The sample has k texts: as many as have a mean log ratio of
@@ -17,22 +18,26 @@ empty results. Extra columns are not read.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import textkern as K
-from .training import labelled_sample
+from .training import labelled_ids
 from .workdir import cut
 
 
 @dataclass(frozen=True)
 class ResamplingParams:
     bits: int = 16
+    #: N-grams of the corpus for a slot of the table, where it has more than 2 ** bits.
+    slot_grams: int = 12
     smooth: float = 0.2
     floor: float = -0.3
     temperature: float = 0.02
@@ -41,55 +46,134 @@ class ResamplingParams:
     seed: int = 14
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+#: Larger than other operators' blocks: the slots that texts share are sent once a block.
+BLOCK_BYTES = 8 << 20
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the files of shuffles that nothing reads any more when its driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of every word and every pair of neighbours."""
     starts, ends, first = K.runs(K.NONSPACE[data], offsets)
     word, text = K.RangeHash(data)(starts, ends), K.owners(first)
     pair = np.flatnonzero(text[1:] == text[:-1])
     both = np.concatenate([word, K.mix(word[pair] * np.uint64(0x632BE59BD9B4E019) + word[pair + 1])])
-    return np.concatenate([text, text[pair]]), (both >> np.uint64(64 - bits)).astype(np.int64)
+    return np.concatenate([text, text[pair]]), both % np.uint64(slots)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> np.ndarray:
-    """The log ratio of each slot: target model over raw model."""
-    good = labelled_sample(docs, labels.where("quality = 1"), "quality", p.max_target_rows, p.seed)
+@dataclass(frozen=True)
+class Model:
+    """The sizes of both models; the counts of slots are in the answers to the blocks."""
+
+    slots: int
+    raw: int
+    target: int
+
+    @property
+    def widths(self) -> tuple[int, int]:
+        return self.raw.bit_length(), self.target.bit_length()
+
+    def ratios(self, raw: np.ndarray, target: np.ndarray, smooth: float) -> np.ndarray:
+        share = raw * self.target / self.raw
+        return np.log((target + smooth * share + 0.5) / ((1 + smooth) * share + 0.5))
+
+    def place(self, slot: np.ndarray) -> np.ndarray:
+        """The 48-bit key of a slot, for blocks' buckets; a shift, so that differences stay short."""
+        return slot << np.uint64(48 - (self.slots - 1).bit_length())
+
+
+def block_ngrams(block: B.Block, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(text + row, slot) for row, data, offsets in block.slices() for text, slot in [ngrams(data, offsets, slots)]]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def counted_blocks(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> tuple[DataFrame, DataFrame, int, Model]:
+    """(blocks, blocks with the counts of their slots in both models, buckets, the models' sizes)."""
+    spark = docs.sparkSession
+    picked = labelled_ids(labels.where("quality = 1"), "quality", p.max_target_rows, p.seed).select(F.col("doc_id").cast("long")).toPandas()["doc_id"]
+    good = spark.sparkContext.broadcast(np.sort(picked.to_numpy(np.int64)))
+    packed = B.pack(docs, BLOCK_BYTES, whole_rows=True)
+    free_shuffles(spark)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _ in B.opened(batches, 0):
+            own = np.zeros(len(block.ids), np.int64)
+            for row, data, offsets in block.slices():
+                first = K.runs(K.NONSPACE[data], offsets)[2]
+                words = np.bincount(K.owners(first), minlength=len(offsets) - 1)
+                own[row : row + len(words)] = np.maximum(2 * words - 1, 0)
+            yield pa.record_batch([pa.array([own.sum()]), pa.array([own[np.isin(block.ids, good.value)].sum()])], ["raw", "target"])
+
+    total = packed.mapInArrow(sizes, "raw long, target long").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    raw, target = total["raw"] or 0, total["target"] or 0
+    model = Model(max(1 << p.bits, -(-raw // p.slot_grams)), raw, target)
+    buckets = 2 * B.bucket_count(B.total_bytes(packed))  # half of the keys' range may be empty
+    if not target:
+        return packed, packed, buckets, model
+
+    def slot_counts(block: B.Block, _: list) -> tuple[np.ndarray, ...]:
+        text, slot = block_ngrams(block, model.slots)
+        kept, at, counts = np.unique(slot, return_inverse=True, return_counts=True)
+        own = np.bincount(at[np.isin(block.ids, good.value)[text]], minlength=len(kept))
+        return model.place(kept), counts.astype(np.uint64), own.astype(np.uint64)
+
+    def sums(key: np.ndarray, raw: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(key)
+        starts = B.group_starts(key[order])
+        often = np.diff(np.append(starts, len(key)))
+        out = []
+        for count, width in zip((raw, target), model.widths, strict=True):
+            total = np.zeros(len(key), np.uint64)
+            total[order] = np.repeat(np.add.reduceat(count[order], starts), often)
+            out += [(total >> np.uint64(k) & np.uint64(1)).astype(bool) for k in range(width)]
+        return tuple(out)
+
+    counted = B.ask(packed, 0, buckets, slot_counts, sums)
+    free_shuffles(spark)
+    return packed, counted, buckets, model
+
+
+def weighted(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> DataFrame:
+    """``docs`` with log_weight, mean_ratio and key."""
+    packed, counted, buckets, model = counted_blocks(docs, labels, p)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << p.bits, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in K.slices(K.text_column(batch, "text")):
-                counts += np.bincount(ngrams(data, offsets, p.bits)[1], minlength=len(counts))
-        slots = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
-
-    def model(texts: DataFrame) -> np.ndarray:
-        rows = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-        out = np.zeros(1 << p.bits)
-        out[rows["slot"]] = rows["n"]
+    def numbers(bits: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(bits[0]), np.int64)
+        for k, b in enumerate(bits):
+            out += b.astype(np.int64) << k
         return out
 
-    raw, target = model(docs), model(good)
-    if target.sum() == 0:
-        return np.zeros(1 << p.bits)
-    share = raw * target.sum() / raw.sum()
-    return np.where(share > 0, np.log((target + p.smooth * share + 0.5) / ((1 + p.smooth) * share + 0.5)), 0.0)
-
-
-def weighted(docs: DataFrame, ratios: np.ndarray, p: ResamplingParams) -> DataFrame:
-    """``docs`` with log_weight, mean_ratio and key."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, got in B.opened(batches, 1 if model.target else 0):
+            n = len(block.ids)
+            total = mean = np.zeros(n)
+            if model.target:
+                text, slot = block_ngrams(block, model.slots)
+                kept, at = np.unique(slot, return_inverse=True)
+                a, b = model.widths
+                bits = B.bits_of(model.place(kept), got[0], buckets, a + b)
+                ratio = model.ratios(numbers(bits[:a]), numbers(bits[a:]), p.smooth)
+                total = np.bincount(text, weights=ratio[at], minlength=n)
+                mean = total / np.maximum(1, np.bincount(text, minlength=n))
+            yield pa.record_batch([pa.array([block.number]), pa.array([total.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], ["block", "log_weight", "mean_ratio"])
+
+    # Scores are made once, so the answers are read once.
+    scores = cut(counted.mapInArrow(score, "block long, log_weight binary, mean_ratio binary"))
+    del counted
+    free_shuffles(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            for a, b, data, offsets in K.slices(K.text_column(batch, "text")):
-                text, slot = ngrams(data, offsets, p.bits)
-                total = np.bincount(text, weights=table[slot], minlength=b - a)
-                mean = total / np.maximum(1, np.bincount(text, minlength=b - a))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(total), pa.array(mean)], names=[*batch.schema.names, "log_weight", "mean_ratio"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(run, f"{fields}, log_weight double, mean_ratio double")
+            own = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("log_weight", "mean_ratio")]
+            for (block, _), *made in zip(B.opened(iter([batch]), 0), *own, strict=True):
+                rows = block.rows(np.ones(len(block.ids), bool))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(np.frombuffer(x)) for x in made)], names=[*rows.schema.names, "log_weight", "mean_ratio"])
+
+    out = packed.join(scores.hint("merge"), "block").mapInArrow(run, f"{B.fields_of(docs)}, log_weight double, mean_ratio double")
     uniform = (F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(p.seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     return out.withColumn("key", F.col("mean_ratio") / p.temperature - F.log(-F.log(uniform)))
 
@@ -120,7 +204,7 @@ def kth_greatest(keys: DataFrame, column: str, k: int) -> int | None:
 
 def resample(docs: DataFrame, labels: DataFrame, p: ResamplingParams = ResamplingParams()) -> DataFrame:
     """``docs`` with log_weight, mean_ratio and selected."""
-    out = weighted(docs, log_ratios(docs, labels, p), p).withColumn("order_bits", ordered_bits("key"))
+    out = weighted(docs, labels, p).withColumn("order_bits", ordered_bits("key"))
     keys = cut(out.select("order_bits", "mean_ratio"))
     k = keys.where(F.col("mean_ratio") >= p.floor).count()
     edge = kth_greatest(keys, "order_bits", k)

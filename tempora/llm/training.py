@@ -16,14 +16,11 @@ def fold(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)), F.lit(0)).cast("int")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int) -> DataFrame:
-    """(order, fold, label, text) of at most ``max_rows`` labelled rows outside the held-out fold.
+def labelled_ids(labels: DataFrame, label: str, max_rows: int, seed: int) -> DataFrame:
+    """(doc_id, label, fold, order) of at most ``max_rows`` labelled rows outside the held-out fold, chosen by hash of the id over all labels.
 
-    The sample is chosen by hash of the id over all labels. It has ``max_rows`` rows of an id, an
-    integer and a label at most, so it is broadcast; the texts stay where they are read. Labels that
-    are null or not 0 or 1 are not used.
-    """
-    picked = (
+    Labels that are null or not 0 or 1 are not used."""
+    return (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .dropDuplicates(["doc_id"])
@@ -33,4 +30,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .orderBy("order", "doc_id")
         .limit(max_rows)
     )
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int) -> DataFrame:
+    """(order, fold, label, text) of the rows of ``labelled_ids``.
+
+    The sample has ``max_rows`` rows of an id, an integer and a label at most, so it is broadcast; the texts stay where they are read.
+    """
+    picked = labelled_ids(labels, label, max_rows, seed)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("order", "fold", "label", "text")

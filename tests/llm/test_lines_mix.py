@@ -109,6 +109,16 @@ def test_resampling(spark):
     assert sum(r.selected for r in out.values()) == sum(r.mean_ratio >= -0.3 for r in out.values())
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_resampling_keeps_and_rejects_as_the_corpus_grows(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = {r.doc_id: r.kept for r in quality_sample(docs, labels).select("doc_id", "kept").collect()}
+    held = [(r.quality, out[r.doc_id]) for r in labels.collect() if fold(r.doc_id) == 2]
+    good, bad = ([k for q, k in held if q == y] for y in (1, 0))
+    print(sf, "good kept", sum(good) / len(good), "bad kept", sum(bad) / len(bad), "share kept", sum(out.values()) / len(out))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad)
+
+
 def test_resampling_edges(spark):
     rows = list(enumerate(texts(8))) + [(None, "x"), (3, "x"), (3, "x")]
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
