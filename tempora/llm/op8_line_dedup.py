@@ -3,7 +3,7 @@
 Lines are the \\n-separated parts of all texts; a line without a word is never a duplicate. Equal lines are first one line, kept
 at its first place (least doc_id, then first in the text): blocks report a line's hash once, so a line of a third of all
 documents reaches its bucket once per block. Of different lines, each has the set of its hashed ``SHINGLE``-character shingles (a shorter line is one
-shingle) and one permutation hashing of ``BANDS * ROWS`` bins, empty bins filled by rotation. A band's key that only one
+shingle) and one permutation hashing of ``BANDS * ROWS`` bins, an empty bin filled from a bin drawn for it. A band's key that only one
 line has proposes nothing and never leaves the block; the others become candidates. At Jaccard 0.75 a pair shares none of 16 bands of 4
 rows with a chance of 0.002. Candidates travel as their texts, are compared exactly and joined into components without making all pairs of
 a group (see ``pairs``). Of each component the line with the first place stays, in all other places lines of it go.
@@ -30,6 +30,8 @@ from .workdir import Scratch, cut
 SHINGLE = 8
 BANDS, ROWS = 16, 4
 PERCENT = 75
+#: For each bin, the order in which it looks for a full one.
+FILL_ORDER = np.argsort(np.random.Generator(np.random.Philox(8)).random((BANDS * ROWS, BANDS * ROWS)), axis=1)
 
 
 class Lines:
@@ -89,24 +91,24 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
 
 
 def band_keys(line: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
-    """(n, BANDS) keys: one permutation hashing with empty bins filled from the next full bin to the right.
+    """(n, BANDS) keys: one permutation hashing; an empty bin takes the value of the first full bin in a random order of its own.
 
-    A band takes bins that are far apart, as neighbours are often filled from one bin.
+    So one shingle of a short line fills bins here and there, not a run of neighbours that touches every band.
     """
     bins = BANDS * ROWS
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n * bins, empty)
     np.minimum.at(sig, line * bins + (shingle & np.uint64(bins - 1)).astype(np.int64), shingle >> np.uint64(8))
     sig = sig.reshape(n, bins)
-    need = np.flatnonzero((sig == empty).any(axis=1))
-    if len(need):
-        part = sig[need]
-        full = part != empty
-        place = np.where(np.concatenate([full, full], axis=1), np.arange(2 * bins), 4 * bins)
-        nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        moved = nearest - np.arange(bins)
-        part = np.take_along_axis(part, nearest % bins, axis=1) + moved.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        sig[need] = part
+    full = sig != empty
+    row, place = np.nonzero(~full & full.any(axis=1)[:, None])
+    for step in range(bins):
+        if not len(row):
+            break
+        source = FILL_ORDER[place, step]
+        found = full[row, source]
+        sig[row[found], place[found]] = sig[row[found], source[found]]
+        row, place = row[~found], place[~found]
     key = np.zeros((n, BANDS), np.uint64)
     for r in range(ROWS):
         key = K.mix(key + sig[:, r * BANDS : (r + 1) * BANDS])

@@ -4,12 +4,13 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tempora.llm import blocks as B
 from tempora.llm.op4_quality_resampling import kth_greatest, quality_sample
 from tempora.llm.op5_mixing import MixingParams, mix, passes, solve_exponent, weights
-from tempora.llm.op8_line_dedup import SHINGLE, dedup_lines, line_digest, line_report
+from tempora.llm.op8_line_dedup import SHINGLE, band_keys, dedup_lines, line_digest, line_report, line_shingles
 
 from .fixtures import documents, fold, texts, words
 
@@ -109,6 +110,28 @@ def test_resampling(spark):
     assert sum(r.selected for r in out.values()) == sum(r.mean_ratio >= -0.3 for r in out.values())
 
 
+def keys_of(lines):
+    data = [x.encode() for x in lines]
+    ends = np.cumsum([len(x) for x in data])
+    return band_keys(*line_shingles(np.frombuffer(b"".join(data), np.uint8), ends - [len(x) for x in data], ends), len(data))
+
+
+@pytest.mark.parametrize("low, high", [(12, 18), (18, 28), (28, 42), (42, 63), (63, 120)])
+def test_near_lines_share_a_band_at_every_length(low, high):
+    """Lines with cut or added ends, near enough by brute force: they propose each other however few shingles they have."""
+    rng = random.Random(low)
+    pairs = []
+    while len(pairs) < 2000:
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(low, high)))
+        b = a[rng.randint(0, 3) : len(a) - rng.randint(0, 3)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 3)))
+        x, y = shingles(a), shingles(b)
+        if a != b and 100 * len(x & y) >= 75 * len(x | y):
+            pairs.append((a, b))
+    missed = 1 - (keys_of([a for a, _ in pairs]) == keys_of([b for _, b in pairs])).any(axis=1).mean()
+    print(low, high, "missed", missed)
+    assert missed <= 0.01
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_resampling_keeps_and_rejects_as_the_corpus_grows(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
