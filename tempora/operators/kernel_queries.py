@@ -252,7 +252,7 @@ def fry_pagan_svar(spark, d):
 
 @query("robust_svar_bounds")
 def robust_svar_bounds(spark, d):
-    return replication_ops.robust_svar_bounds(_months(spark, d), V3, "t", SIGNS[:2], horizon=6, n_draws=40, n_rotations=60)
+    return replication_ops.robust_svar_bounds(_months(spark, d), V3, "t", SIGNS[:2], horizon=6, n_draws=40)
 
 
 @query("proxy_svar_bands")

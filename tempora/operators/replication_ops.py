@@ -6,6 +6,7 @@ cluster, each with its own child of the seed's sequence, and summaries over them
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -180,24 +181,64 @@ def fry_pagan_svar(df: DataFrame, columns: Sequence[str], time: str, restriction
     return apart.join(F.broadcast(best), "rep").select("rep", "i", "j", "k", "value", "median")
 
 
-def robust_svar_bounds(df: DataFrame, columns: Sequence[str], time: str, restrictions: Sequence[tuple], lags: int = 2, horizon: int = 12, n_draws: int = 500, seed: int = 0, lambda1: float = 0.2, alpha: float = 0.10, n_rotations: int = 200) -> DataFrame:
-    """(i, j, k, set_lower_mean, set_upper_mean, robust_ci_lower, robust_ci_upper): bounds of the identified set of each posterior draw, over rotations."""
+def _directions(g: np.ndarray, normals: np.ndarray):
+    """Unit vectors that may be extremes of g'q where normals q >= 0: of g in the complement of each set of active normals."""
+    n = len(g)
+    for size in range(min(len(normals), n - 1) + 1):
+        for active in itertools.combinations(range(len(normals)), size):
+            own = normals[list(active)]
+            q = g - np.linalg.pinv(own) @ (own @ g) if size else g
+            length = np.linalg.norm(q)
+            if length > 1e-10 * max(np.linalg.norm(g), 1e-300):
+                yield q / length
+                yield -q / length
+
+
+def _nonempty(normals: np.ndarray) -> bool:
+    """Is there a unit vector q with normals q >= 0?"""
+    n = normals.shape[1]
+    if n == 0:
+        return False
+    probe = np.random.Generator(np.random.Philox(n)).standard_normal(n)
+    return any((normals @ q >= -1e-9).all() for q in _directions(probe, normals))
+
+
+def sphere_bounds(g: np.ndarray, normals: np.ndarray) -> tuple[float, float] | None:
+    """The least and greatest g'q over unit vectors q with normals q >= 0, in closed form; none where there is no such q."""
+    normals = normals / np.linalg.norm(normals, axis=1, keepdims=True)
+    length = np.linalg.norm(g)
+    if length <= 1e-12:
+        return (0.0, 0.0) if _nonempty(normals) else None
+    values = [float(g @ q) for q in _directions(g, normals) if (normals @ q >= -1e-9).all()]
+    # A face where g'q is 0 throughout has no direction of its own.
+    if _nonempty(normals @ np.linalg.svd(g[None, :])[2][1:].T):
+        values.append(0.0)
+    return (min(values), max(values)) if values else None
+
+
+def robust_svar_bounds(df: DataFrame, columns: Sequence[str], time: str, restrictions: Sequence[tuple], lags: int = 2, horizon: int = 12, n_draws: int = 500, seed: int = 0, lambda1: float = 0.2, alpha: float = 0.10) -> DataFrame:
+    """(i, j, k, set_lower_mean, set_upper_mean, robust_ci_lower, robust_ci_upper): exact bounds of the identified set of each posterior draw, for each restricted shock.
+
+    Where several shocks are restricted, each has the bounds of its own restrictions: they contain those of the joint set."""
     niw = V.Niw(matrix(df, columns, time), lags, lambda1=lambda1)
+    shocks = sorted({s for _, s, _, _ in restrictions})
 
     def body(rng, _):
         b, sigma = niw.draw(rng)
         base = niw.responses(b, np.linalg.cholesky(sigma), horizon)
-        low = high = None
-        for _ in range(n_rotations):
-            irf = base @ V.haar(rng, niw.v.k)
-            if _accepted(irf, restrictions):
-                low = irf if low is None else np.minimum(low, irf)
-                high = irf if high is None else np.maximum(high, irf)
-        return {"nonempty": 0.0} if low is None else {"nonempty": 1.0, "low": low, "high": high}
+        low, high = (np.full(base.shape, np.nan) for _ in range(2))
+        for shock in shocks:
+            normals = np.array([sign * base[h, var] for var, s, h, sign in restrictions if s == shock])
+            for h, i in np.ndindex(base.shape[:2]):
+                bounds = sphere_bounds(base[h, i], normals)
+                if bounds is None:
+                    return {"nonempty": 0.0}
+                low[h, i, shock], high[h, i, shock] = bounds
+        return {"nonempty": 1.0, "low": low, "high": high}
 
     draws = replicate(df.sparkSession, n_draws, seed, body)
     at = lambda f: F.when(F.col("field") == f, F.col("value"))
-    return draws.where("field IN ('low', 'high')").groupBy("i", "j", "k").agg(
+    return draws.where("field IN ('low', 'high')").where(F.col("k").isin(shocks)).groupBy("i", "j", "k").agg(
         F.avg(at("low")).alias("set_lower_mean"), F.avg(at("high")).alias("set_upper_mean"), F.percentile(at("low"), F.lit(alpha / 2)).alias("robust_ci_lower"), F.percentile(at("high"), F.lit(1 - alpha / 2)).alias("robust_ci_upper")
     )
 

@@ -171,3 +171,19 @@ def test_summarize(spark):
     assert "statistic" in text and "-4.0487" in text
     checked = {r.field: r for r in replication_ops.check_series(df, "y", "t").collect()}
     assert checked["stationarity.quadrant"].note == "Conflict" and "recommendations" in checked
+
+
+def test_robust_bounds_are_the_edges_of_the_set(spark):
+    rng = np.random.default_rng(1)
+    y = np.cumsum(rng.standard_normal((120, 3)), axis=0) * 0.1 + rng.standard_normal((120, 3)) @ np.array([[1, 0.4, 0.2], [0, 1, 0.3], [0, 0, 1]])
+    df = spark.createDataFrame([(t, *map(float, r)) for t, r in enumerate(y)], "t long, a double, b double, c double")
+    signs = [(0, 0, 0, 1), (1, 0, 0, 1)]
+    out = {(r.i, r.j, r.k): r for r in replication_ops.robust_svar_bounds(df, ["a", "b", "c"], "t", signs, horizon=2, n_draws=8).collect()}
+    assert {k for _, _, k in out} == {0}
+    assert abs(out[0, 0, 0].set_lower_mean) < 1e-8 and abs(out[0, 1, 0].set_lower_mean) < 1e-8
+    normals, q = rng.standard_normal((2, 3)), rng.standard_normal((200_000, 3))
+    q = q[(q @ normals.T >= 0).all(axis=1)] / np.linalg.norm(q[(q @ normals.T >= 0).all(axis=1)], axis=1, keepdims=True)
+    for g in rng.standard_normal((20, 3)):
+        low, high = replication_ops.sphere_bounds(g, normals)
+        assert low - 1e-9 <= (q @ g).min() <= low + 0.05 and high - 0.05 <= (q @ g).max() <= high + 1e-9
+    assert replication_ops.sphere_bounds(np.array([1.0, 2.0]), np.array([[1.0, 0.0], [-1.0, 0.1], [0.0, -1.0]])) is None
