@@ -35,9 +35,13 @@ def _treated(spark, d):
     return _panel(spark, d).withColumn("d", ((F.col("unit") <= 2) & (F.col("day") >= 8 + 4 * F.col("unit"))).cast("double"))
 
 
+#: Elements of a vector of the embeddings table, and the one that stands for policy.
+ELEMENTS, POLICY = 64, 8
+
+
 def _embeddings(spark, d):
     e = S.table(spark, d, "embeddings")
-    return e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(8)), F.get("embedding", F.lit(8)).cast("double").alias("policy"))
+    return e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(ELEMENTS)), F.get("embedding", F.lit(POLICY)).cast("double").alias("policy"))
 
 
 def _uniforms(spark, d):
@@ -137,8 +141,8 @@ PLAIN = [
     ("johansen", _months, [V3], "t", [], {}),
     ("vecm", _months, [V3], "t", [], {}),
     ("engle_granger", _months, [V3], "t", [], {}),
-    ("factor_model", _embeddings, [[f"e{i}" for i in range(8)]], "vec_id", [], {"kmax": 5}),
-    ("favar", _embeddings, [[f"e{i}" for i in range(8)], "policy"], "vec_id", [], {"horizon": 6}),
+    ("factor_model", _embeddings, [[f"e{i}" for i in range(ELEMENTS)]], "vec_id", [], {"kmax": 5}),
+    ("favar", _embeddings, [[f"e{i}" for i in range(ELEMENTS) if i != POLICY], "policy"], "vec_id", [], {"horizon": 6}),
     ("functional_pca", _curves, [CURVE], "t", [], {}),
     ("structural_fevd", _months, [V3], "t", [], {}),
     ("long_run_svar", _months, [V3], "t", [], {}),

@@ -187,3 +187,11 @@ def test_robust_bounds_are_the_edges_of_the_set(spark):
         low, high = replication_ops.sphere_bounds(g, normals)
         assert low - 1e-9 <= (q @ g).min() <= low + 0.05 and high - 0.05 <= (q @ g).max() <= high + 1e-9
     assert replication_ops.sphere_bounds(np.array([1.0, 2.0]), np.array([[1.0, 0.0], [-1.0, 0.1], [0.0, -1.0]])) is None
+
+
+def test_factor_queries_take_all_elements(spark):
+    d = "/root/testdata/sf0.001"
+    size = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("max(size(embedding)) n").first().n
+    queries = registry.registered_queries()
+    rows = {name: queries[name](spark, d).where("field = 'loadings'").collect() for name in ("factor_model", "favar")}
+    assert {name: len({r.i for r in out}) for name, out in rows.items()} == {"factor_model": size, "favar": size - 1}
