@@ -12,6 +12,7 @@ three to four bytes each.
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -77,14 +78,21 @@ def decode_keys(body: bytes, width: int) -> np.ndarray:
 
 
 class Block:
-    """The texts of one block."""
+    """The texts of one block. Its number is that of its first row: ``number`` + a row's place in the block is the row's own number."""
 
-    def __init__(self, number: int, ids: bytes, offsets: bytes, body: bytes, carry: bytes | None = None):
-        self.number, self._carry = number, carry
+    def __init__(self, number: int, ids: bytes, offsets: bytes, body: bytes, carry: bytes | None = None, extra: bytes | None = None):
+        self.number, self._body, self._carry, self._extra = number, body, carry, extra
         self.ids = np.frombuffer(ids, np.int64)
         self.offsets = np.frombuffer(offsets, np.int64)
-        raw = zstandard.ZstdDecompressor().decompress(body) if len(body) else b""
-        self.data = np.frombuffer(raw, np.uint8)
+
+    @functools.cached_property
+    def data(self) -> np.ndarray:
+        """The bytes of all texts, unpacked where they are asked for."""
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._body) if len(self._body) else b"", np.uint8)
+
+    def index(self) -> list[np.ndarray]:
+        """The columns that ``pack`` was told to make of the texts."""
+        return decode_columns(self._extra)
 
     @classmethod
     def of_texts(cls, block: Block, nth: np.ndarray) -> Block:
@@ -119,27 +127,42 @@ class Block:
         return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks else pa.array([], c.type) for c in table.columns], schema=table.schema)
 
 
-FIELDS = "block long, ids binary, offsets binary, body binary, carry binary, n_bytes long"
+FIELDS = "block long, ids binary, offsets binary, body binary, carry binary, extra binary, n_bytes long"
+#: Rows that one task can number.
+TASK_ROWS = 33
 
 
 def fields_of(docs: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
 
-def pack(docs: DataFrame, block_bytes: int | None = None, whole_rows: bool = False) -> DataFrame:
-    """(block, ids, offsets, body, carry, n_bytes), dealt by block and kept in the shared folder.
+#: Columns made of a slice's bytes and offsets; the first two are its texts and ascending places of its bytes.
+Index = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]]
+
+
+def id_type(docs: DataFrame) -> pa.DataType:
+    """The type of the ids; blocks take whole numbers only."""
+    kind = docs.schema["doc_id"].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"doc_id must be a whole number, not {kind}")
+    return {"byte": pa.int8(), "short": pa.int16(), "integer": pa.int32(), "long": pa.int64()}[kind]
+
+
+def pack(docs: DataFrame, block_bytes: int | None = None, whole_rows: bool = False, index: Index | None = None) -> DataFrame:
+    """(block, ids, offsets, body, carry, extra, n_bytes), dealt by block and kept in the shared folder.
 
-    ``whole_rows``: all columns travel along, for ``Block.rows``."""
+    ``whole_rows``: all columns travel along, for ``Block.rows``. ``index``: what it makes of the texts is kept, for ``Block.index``."""
     block_bytes = block_bytes or BLOCK_BYTES
+    id_type(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=5)
+        compressor = zstandard.ZstdCompressor(level=3)
         context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 24
-        ids, lengths, parts, others, size = [], [], [], [], 0
+        number = (context.partitionId() if context else 0) << TASK_ROWS
+        ids, lengths, parts, others, made, rows, size = [], [], [], [], [], 0, 0
 
         def row() -> pa.RecordBatch:
-            nonlocal number, ids, lengths, parts, others, size
+            nonlocal number, ids, lengths, parts, others, made, rows, size
             carry = None
             if whole_rows:
                 sink = pa.BufferOutputStream()
@@ -147,12 +170,12 @@ def pack(docs: DataFrame, block_bytes: int | None = None, whole_rows: bool = Fal
                 with pa.ipc.new_stream(sink, table.schema) as out:
                     out.write_table(table)
                 carry = compressor.compress(sink.getvalue())
+            extra = encode_columns(*(np.concatenate(c) for c in zip(*made, strict=True))) if made else None
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
-            out = pa.record_batch(
-                [pa.array([number]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([offsets.tobytes()], pa.binary()), pa.array([compressor.compress(b"".join(parts))], pa.binary()), pa.array([carry], pa.binary()), pa.array([size])],
-                ["block", "ids", "offsets", "body", "carry", "n_bytes"],
-            )
-            number, ids, lengths, parts, others, size = number + 1, [], [], [], [], 0
+            values = [number, np.concatenate(ids).tobytes(), offsets.tobytes(), compressor.compress(b"".join(parts)), carry, extra, size]
+            kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64()]
+            out = pa.record_batch([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "offsets", "body", "carry", "extra", "n_bytes"])
+            number, ids, lengths, parts, others, made, rows, size = number + rows, [], [], [], [], [], 0, 0
             return out
 
         for batch in batches:
@@ -160,10 +183,15 @@ def pack(docs: DataFrame, block_bytes: int | None = None, whole_rows: bool = Fal
             at = batch.schema.get_field_index("text")
             there = batch.set_column(at, "text", batch.column(at).is_valid())  # only whether there was a text
             for a, b, data, offsets in K.slices(K.text_column(batch, "text"), block_bytes // 4):
+                if index:
+                    text, place, *more = index(data, offsets)
+                    made.append((place + size, text + rows, *more))
                 ids.append(own[a:b])
                 lengths.append(np.diff(offsets))
                 parts.append(data.tobytes())
-                others.append(there.slice(a, b - a))
+                if whole_rows:
+                    others.append(there.slice(a, b - a))
+                rows += b - a
                 size += len(data)
                 if size >= block_bytes:
                     yield row()
@@ -189,7 +217,7 @@ def opened(batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple[Bl
         columns = {name: batch.column(batch.schema.get_field_index(name)) for name in batch.schema.names}
         for i in range(batch.num_rows):
             got = [{x["bucket"]: x["bits"] for x in columns[f"answer{k}"][i].as_py() or ()} for k in range(answers)]
-            yield Block(*(columns[c][i].as_py() for c in ("block", "ids", "offsets", "body", "carry"))), got
+            yield Block(*(columns[c][i].as_py() for c in ("block", "ids", "offsets", "body", "carry", "extra"))), got
     K.release()
 
 

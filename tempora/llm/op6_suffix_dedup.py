@@ -206,10 +206,9 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM):
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     asked, find = repeated_starts(docs, width, gram)
-    kind = docs.schema["doc_id"].dataType
+    kind, id_type = docs.schema["doc_id"].dataType, B.id_type(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        id_type = pa.int32() if kind.typeName() == "integer" else pa.int64()
         for block, got in B.opened(batches, 3):
             starts = find(block, got)
             edge = np.zeros(len(block.data) + 1, np.int32)

@@ -8,8 +8,10 @@ line has proposes nothing and never leaves the block; the others become candidat
 rows with a chance of 0.002. Candidates travel as their texts, are compared exactly and joined into components without making all pairs of
 a group (see ``pairs``). Of each component the line with the first place stays, in all other places lines of it go.
 
+Lines are found once, where blocks are packed; a block's line index travels with it.
+
 Edge cases. A null text is read as an empty one, which has no line with a word. Very long lines are read whole. Equal rows: the
-copy that comes first keeps its lines (rows that share an id: one of them). A missing id comes before all. Empty tables give empty results. Other columns travel along in
+copy that comes first keeps its lines (rows that share an id: one of them). A missing id comes before all; an id that is not a whole number raises. Empty tables give empty results. Other columns travel along in
 ``dedup_lines``, but n_chars, where there is one, is set anew.
 """
 
@@ -34,26 +36,28 @@ PERCENT = 75
 FILL_ORDER = np.argsort(np.random.Generator(np.random.Philox(8)).random((BANDS * ROWS, BANDS * ROWS)), axis=1)
 
 
+def line_index(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, length, number in the text, hash) of the lines with a word of a slice."""
+    breaks = data == 0x0A
+    starts, ends, first = K.runs(~breaks, offsets)
+    solid = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(K.NONSPACE[data], out=solid[1:])
+    at = np.flatnonzero(breaks)
+    text = K.owners(first)
+    worded = solid[ends] > solid[starts]
+    starts, ends, text = starts[worded], ends[worded], text[worded]
+    number = np.searchsorted(at, starts) - np.searchsorted(at, offsets)[text]
+    return text, starts, ends - starts, number, K.RangeHash(data)(starts, ends)
+
+
 class Lines:
-    """The lines with a word of a block: text, number in the text, hash; the first of each hash by (id, number)."""
+    """The lines with a word of a block, as its index has them: text, number in the text, hash; the first of each hash by (id, number)."""
 
     def __init__(self, block: B.Block):
         self.block = block
-        parts = []
-        for row, data, offsets in block.slices():
-            breaks = data == 0x0A
-            starts, ends, first = K.runs(~breaks, offsets)
-            solid = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(K.NONSPACE[data], out=solid[1:])
-            newline = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(breaks, out=newline[1:])
-            text = K.owners(first)
-            worded = solid[ends] > solid[starts]
-            starts, ends, text = starts[worded], ends[worded], text[worded]
-            number = newline[starts] - newline[offsets[text]]
-            parts.append((text + row, number, starts + block.offsets[row], ends + block.offsets[row], K.RangeHash(data)(starts, ends)))
-        none = np.zeros(0, np.int64)
-        self.text, self.number, self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none, none.astype(np.uint64))
+        start, text, length, number, self.hash = block.index()
+        self.start, self.text, self.number = start.astype(np.int64), text.astype(np.int64), number.astype(np.int64)
+        self.end = self.start + length.astype(np.int64)
         self.rank = B.id_rank(block.ids)[self.text]
         self.order = np.lexsort((self.text, self.number, self.rank, self.hash))
         self.groups = B.group_starts(self.hash[self.order])
@@ -77,17 +81,34 @@ def first_answer(key: np.ndarray, low: np.ndarray, rank: np.ndarray, block: np.n
 
 
 def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of each ``SHINGLE``-character shingle of lines of a slice."""
-    lead = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(K.LEAD[data], out=lead[1:])
-    place = np.append(np.flatnonzero(K.LEAD[data]), len(data))
-    chars = lead[ends] - lead[starts]
-    made = np.maximum(chars - SHINGLE + 1, 1)
-    line = np.repeat(np.arange(len(starts)), made)
-    at = lead[starts][line] + np.arange(len(line)) - np.repeat(np.cumsum(made) - made, made)
-    begin = place[at]
-    finish = np.minimum(place[np.minimum(at + SHINGLE, len(place) - 1)], ends[line])
-    return line, K.RangeHash(data)(begin, finish)
+    """(line, hash) of each ``SHINGLE``-character shingle of lines of a slice, in order of start; a shorter line is one shingle, and comes last.
+
+    A shingle's hash is a polynomial of its code points, made for all places of the slice by doubling."""
+    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code += np.uint64(1)
+    code *= np.uint64(0x9E3779B97F4A7C15)
+    code ^= code >> np.uint64(32)
+    before = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(K.LEAD[data], out=before[1:])
+    first, last = before[starts].astype(np.int64), before[ends].astype(np.int64) - SHINGLE
+    rolled, width, factor = code, 1, 0xD1342543DE82EF95
+    while width < SHINGLE:
+        rolled = rolled[:-width] * np.uint64(factor) + rolled[width:] if len(rolled) > width else rolled[:0]
+        width, factor = 2 * width, factor * factor % (1 << 64)
+    whole = np.flatnonzero(last >= first)
+    made = last[whole] - first[whole] + 1
+    at = np.arange(made.sum()) + np.repeat(first[whole] - np.cumsum(made) + made, made)
+    short = np.flatnonzero(last < first)
+    chars = last[short] + SHINGLE - first[short]
+    value = chars.astype(np.uint64)
+    for step in range(SHINGLE - 1):
+        more = chars > step
+        value[more] = K.mix(value[more] + code[first[short[more]] + step])
+    h = rolled[at]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.concatenate([np.repeat(whole, made), short]), np.concatenate([h, value])
 
 
 def band_keys(line: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
@@ -129,19 +150,23 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
 def owned_bands(lines: Lines, own: np.ndarray) -> np.ndarray:
     """The 48-bit band keys of some lines of a block."""
     out = np.zeros((len(own), BANDS), np.uint64)
-    for _, pick, data, starts, ends in owned_slices(lines, own):
+    for pick, data, starts, ends in owned_slices(lines, own):
         line, shingle = line_shingles(data, starts, ends)
         out[pick] = band_keys(line, shingle, len(pick)) >> np.uint64(16)
     return out
 
 
 def owned_slices(lines: Lines, own: np.ndarray) -> Iterator[tuple]:
-    """(row, which of ``own``, bytes, starts, ends) by slices of the block."""
+    """(which of ``own``, bytes, starts, ends) by slices of the block; bytes are those of the lines alone where they are a small part."""
     for row, data, offsets in lines.block.slices():
         base = lines.block.offsets[row]
         pick = np.flatnonzero((lines.start[own] >= base) & (lines.start[own] < base + len(data)))
         if len(pick):
-            yield row, pick, data, lines.start[own[pick]] - base, lines.end[own[pick]] - base
+            starts, ends = lines.start[own[pick]] - base, lines.end[own[pick]] - base
+            if 2 * (ends - starts).sum() < len(data):
+                data = np.concatenate([data[a:b] for a, b in zip(starts, ends, strict=True)])
+                starts, ends = np.cumsum(ends - starts) - (ends - starts), np.cumsum(ends - starts)
+            yield pick, data, starts, ends
 
 
 class BandRow:
@@ -159,7 +184,7 @@ class BandRow:
 
 def judged_lines(docs: DataFrame, whole_rows: bool = False):
     """(blocks with the answers and the near-duplicate lines, a function that gives a block's lines and which of them go)."""
-    packed = B.pack(docs, whole_rows=whole_rows)
+    packed = B.pack(docs, whole_rows=whole_rows, index=line_index)
     buckets = B.bucket_count(B.total_bytes(packed), 1 / 20)
 
     def line_keys(block: B.Block, _: list) -> tuple[np.ndarray, ...]:
@@ -207,7 +232,7 @@ def judged_lines(docs: DataFrame, whole_rows: bool = False):
                 lines, keys = Lines(block), B.decode_keys(keys, BANDS)
                 some = np.unpackbits(np.frombuffer(some, np.uint8))[: keys.size].reshape(keys.shape).astype(bool)
                 odd = BANDS * ((1 << B.CLASS_BITS) - 1) - np.frombuffer(often, np.int16)
-                for _, pick, data, starts, ends in owned_slices(lines, own):
+                for pick, data, starts, ends in owned_slices(lines, own):
                     line, shingle = line_shingles(data, starts, ends)
                     order = K.order_within(line, shingle)
                     size = np.bincount(line[order][B.group_starts(line[order], shingle[order])], minlength=len(pick))
@@ -229,7 +254,7 @@ def judged_lines(docs: DataFrame, whole_rows: bool = False):
     scratch = Scratch(docs.sparkSession)
     with_lines = packed.join(chosen_lines.hint("merge"), "block")
     found = scratch.keep(with_lines.mapInArrow(candidates, "node long, n long, members binary, keys array<long>, odd int, doc long, number long, block long"))
-    comps = near_components(found, lambda wanted: found.select("node", "n", "members").join(wanted, "node"), PERCENT, scratch, line_sets, shared_keys=True)
+    comps = near_components(found, lambda _: found.select("node", "n", "members"), PERCENT, scratch, line_sets, shared_keys=True)
     placed = comps.join(found.select("node", F.struct("doc", "number", "node").alias("place")), "node")
     stays = placed.groupBy("comp").agg(F.min("place").alias("first"))
     gone = placed.join(stays, "comp").where(F.col("place") != F.col("first")).select("node")
@@ -270,8 +295,7 @@ def without(block: B.Block, lines: Lines, goes: np.ndarray) -> list[bytes]:
 def line_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines (with a word), n_removed, text (what is left)."""
     full, judge = judged_lines(docs)
-    kind = docs.schema["doc_id"].dataType
-    id_type = pa.int32() if kind.typeName() == "integer" else pa.int64()
+    kind, id_type = docs.schema["doc_id"].dataType, B.id_type(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, lines, goes in each_judged(batches, judge):

@@ -9,7 +9,7 @@ all pairs of a key's group are made:
 1. sets of like size (bands a factor of 4/3 wide; sets that can reach the threshold are in one
    band or in neighbouring ones) that share a key have a pivot in their band and in the band below: the least odd of them, ties
    drawn by hash. A node is compared with the first of the pivots of its keys, so many copies of one text all meet one pivot;
-2. what is linked becomes one component; groups that lie in one component are done. Small others are joined with themselves,
+2. what is linked becomes one component (see ``components``); groups that lie in one component are done. Small others are joined with themselves,
    pairs of different components only;
 3. larger ones are dealt into tiles of at most ``TILE`` nodes of a group, and each pair of tiles is one task's: bitmaps of all its nodes are held
    against those of the nodes outside its largest component at once, and only pairs that pass leave it. So no link is lost, whatever the groups look like, and what a
@@ -26,15 +26,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import group_starts
 from .workdir import Scratch
 
 BITMAP_LONGS = 32
 #: Groups of more nodes than these are compared in tiles.
 SMALL = 8
 TILE = 1024
+#: Edges of which one task finds the components.
+ONE_TASK = 1 << 16
 
 
 def band(n: Column) -> Column:
@@ -68,47 +71,136 @@ def sorted_hashes(members: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in members]
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two sorted arrays share."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    if not len(y):
+        return 0
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int, unpack: Unpack) -> DataFrame:
     """Those of the pairs (a, b) that reach the threshold."""
-    light = nodes.select("node", "n", "bits")
-    side = lambda x: light.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in light.columns))
-    open_pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(overlap_bound() >= needed(F.col("a_n"), F.col("b_n"), percent)).select("a", "b").distinct()
+    if "bits" in nodes.columns:
+        light = nodes.select("node", "n", "bits")
+        side = lambda x: light.select(*(F.col(c).alias(x if c == "node" else f"{x}_{c}") for c in light.columns))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(overlap_bound() >= needed(F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
     sets = nodes.select("node", "members")
-    whole = open_pairs.join(sets.withColumnsRenamed({"node": "a", "members": "a_members"}), "a").join(sets.withColumnsRenamed({"node": "b", "members": "b_members"}), "b")
+    whole = pairs.join(sets.withColumnsRenamed({"node": "a", "members": "a_members"}), "a").join(sets.withColumnsRenamed({"node": "b", "members": "b_members"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             good = []
-            for at in range(0, len(a), 256):
-                left, right = (unpack([x.as_py() for x in batch.column(c).slice(at, 256)]) for c in (2, 3))
-                for x, y in zip(left, right, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                a, b = (part.column(c).to_pylist() for c in (0, 1))
+                # A pivot is in many pairs; each set is unpacked once.
+                body = dict(zip(b, part.column(3), strict=True)) | dict(zip(a, part.column(2), strict=True))
+                sets = dict(zip(body, unpack([x.as_py() for x in body.values()]), strict=True))
+                for x, y in ((sets[i], sets[j]) for i, j in zip(a, b, strict=True)):
+                    both = overlap(x, y)
                     good.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(good, pa.bool_())
-            yield pa.record_batch([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], ["a", "b"])
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return whole.select("a", "b", "a_members", "b_members").mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, comp): the least node reachable, for every node of an edge (a, b).
-
-    Each round takes the least label among neighbours and then the label of that label, so paths shorten
-    by half; every round is written in the shared folder and the one before deleted.
-    """
-    both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of some edges that are not their component's root, the least node."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    up = np.arange(len(nodes))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m")).withColumnRenamed("a", "node")
-        lower = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = scratch.keep(lower.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        scratch.drop(labels)
-        labels = new.select("node", "comp")
-        if new.where("was != comp").isEmpty():
-            scratch.drop(both)
-            return labels
+        low, high = np.minimum(up[a], up[b]), np.maximum(up[a], up[b])
+        split = low != high
+        if not split.any():
+            moved = up != np.arange(len(nodes))
+            return nodes[moved], nodes[up[moved]]
+        np.minimum.at(up, high[split], low[split])
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a task as stars: (a, b) of each node and the root of its component among them."""
+    got = list(batches)
+    if got:
+        a, b = roots(*(np.concatenate([x.column(c).to_numpy() for x in got]) for c in (0, 1)))
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def components(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, comp) of every node of an edge (a, b); comp is one of the component's nodes.
+
+    Each task first makes stars of its own edges. While more than ``one_task`` edges are left, every node then points to the first of its
+    neighbours and itself in an order by hash, and on to where that one points; edges are carried on between what is pointed to, so their number
+    falls by a factor in every round. The rest is one task's, of bounded size. Going back through the rounds, a node takes the component
+    of the node that it pointed to; rounds shrink, so all of them together cost little more than the first.
+    """
+    left = scratch.keep(edges.select("a", "b").where("a != b").distinct().mapInArrow(_forest, "a long, b long"))
+    steps = []
+    while (n := left.count()) > one_task:
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        own, best = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("x")), F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("x"))
+        point = scratch.keep(both.groupBy(own.alias("own")).agg(F.min(best).alias("best")).select(F.col("own.x").alias("node"), F.least("own", "best")["x"].alias("up")))
+        further = point.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        step = scratch.keep(point.join(further, "up").select("node", F.col("upper").alias("up")).where("node != up"))
+        moved = left
+        for end in "ab":
+            moved = moved.join(step.withColumnsRenamed({"node": end, "up": f"{end}_up"}), end, "left").withColumn(end, F.coalesce(f"{end}_up", end)).drop(f"{end}_up")
+        fewer = scratch.keep(moved.where("a != b").distinct().mapInArrow(_forest, "a long, b long"))
+        scratch.drop(left, point)
+        steps.append(step)
+        left = fewer
+    # Stars of several tasks may share nodes.
+    found = (left.coalesce(1).mapInArrow(_forest, "a long, b long") if n else left).withColumnsRenamed({"a": "node", "b": "comp"})
+    found = scratch.keep(found)
+    scratch.drop(left)
+    for step in reversed(steps):
+        back = step.join(found.select(F.col("node").alias("up"), "comp"), "up", "left").select("node", F.coalesce("comp", "up").alias("comp"))
+        new = scratch.keep(back.union(found))
+        scratch.drop(step, found)
+        found = new
+    return found.union(found.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of each node with the first pivot of its keys in its band, and the first in the band below.
+
+    The entries of a key are read in the order of (band, rank as a pivot), so a task only remembers the pivots of two bands."""
+    columns = ["key", "band", "odd", "h", "node", "n", "alone"]
+    dealt = entries.select("key", "band", "odd", F.xxhash64("node", F.lit(1)).alias("h"), "node", "n", "alone").repartition("key").sortWithinPartitions(*columns[:5])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {c: np.zeros(0, np.int64) for c in columns}
+        for batch in batches:
+            ahead = len(known["key"])
+            at = {c: np.concatenate([known[c], batch.column(k).to_numpy()]) for k, c in enumerate(columns)}
+            starts = group_starts(at["key"], at["band"])
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at["key"]))))
+            beside = np.zeros(len(starts), bool)
+            beside[1:] = (at["key"][starts[1:]] == at["key"][starts[:-1]]) & (at["band"][starts[1:]] == at["band"][starts[:-1]] + 1)
+            new = np.arange(ahead, len(group))
+            x, pivot, below = [], [], []
+            for under, own in ((0, new), (1, new[beside[group[new]]])):
+                x.append(own)
+                pivot.append(starts[group[own] - under])
+                below.append(np.full(len(own), under, np.int32))
+            x, pivot, below = (np.concatenate(v) for v in (x, pivot, below))
+            n, m = at["n"][x], at["n"][pivot]
+            least = -(-(n + m) * percent // (100 + percent))
+            fits = (at["node"][x] != at["node"][pivot]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(n - at["alone"][x], m - at["alone"][pivot]) >= least)
+            x, pivot, below = x[fits], pivot[fits], below[fits]
+            yield pa.record_batch([pa.array(at["node"][x]), pa.array(below), pa.array(at["odd"][pivot].astype(np.int32)), pa.array(at["h"][pivot]), pa.array(at["node"][pivot])], ["x", "below", "odd", "h", "p"])
+            last = starts[-2:] if len(starts) > 1 and beside[-1] else starts[-1:]
+            known = {c: at[c][last] for c in columns}
+
+    pivots = dealt.mapInArrow(run, "x long, below int, odd int, h long, p long")
+    first = pivots.groupBy("x", "below").agg(F.min(F.struct("odd", "h", "p")).alias("p")).select("x", "p.p")
+    return first.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
 
 
 def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unpack: Unpack = sorted_hashes, shared_keys: bool = False) -> DataFrame:
@@ -116,67 +208,54 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
 
     ``shared_keys``: all keys are known to be shared.
 
-    ``fetch`` gives (node, n, members, and maybe their bitmaps as bits) for a table of nodes, and ``unpack`` the sorted hashes of some members. Rows that share a node (rows of one document's id) count as linked."""
+    ``fetch`` gives (node, n, members, and bitmaps as bits where sets are held against those first) for a table of nodes, and ``unpack`` the sorted hashes of some
+    members."""
 
     def with_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            members = batch.column(batch.schema.get_field_index("members"))
+            members = batch.column(1)
             bits = [bitmap(x).tolist() for at in range(0, len(members), 256) for x in unpack([m.as_py() for m in members.slice(at, 256)])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.list_(pa.int64()))], names=[*batch.schema.names, "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["node", "bits"])
 
     given, nodes_columns = nodes, nodes.columns
     alone = F.col("place") if "place" in nodes.columns else F.lit(0)
     odd = F.col("odd") if "odd" in nodes.columns else alone * 16 / F.col("n")
-    entries = nodes.select("node", "n", band(F.col("n")).alias("band"), alone.cast("long").alias("alone"), odd.cast("int").alias("odd"), F.posexplode("keys").alias("at", "key"))
-    if shared_keys:
-        entries = scratch.keep(entries.distinct())
-    else:
+    entries = nodes.select("node", F.col("n").cast("long").alias("n"), band(F.col("n")).alias("band"), alone.cast("long").alias("alone"), odd.cast("int").alias("odd"), F.posexplode("keys").alias("at", "key"))
+    if not shared_keys:
         met = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
-        entries = scratch.keep(entries.join(met, "key").distinct())
-    wanted = entries.select("node").distinct()
-    fetched = fetch(wanted)
-    if "bits" not in fetched.columns:
-        fetched = fetched.select("node", "n", "members").mapInArrow(with_bits, "node long, n long, members binary, bits array<long>")
-    nodes = scratch.keep(fetched)
+        entries = entries.join(met, "key")
+    entries = scratch.keep(entries)
+    nodes = scratch.keep(fetch(entries.select("node").distinct()))
     # Members that one set has alone are in no overlap.
     least = needed(F.col("a_n"), F.col("b_n"), percent)
     fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (F.least(F.col("a_n") - F.col("a_alone"), F.col("b_n") - F.col("b_alone")) >= least)
 
-    def starred(open_entries: DataFrame, seed: int) -> DataFrame:
-        """For each node the first pivot, by hash, of its keys in its band, and the first in the band below."""
-        pivots = open_entries.groupBy("key", "band").agg(F.min(F.struct("odd", F.xxhash64("node", F.lit(seed)).alias("h"), "node", "n", "alone")).alias("p"))
-        near = pivots.withColumn("below", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("band", F.col("band") + F.col("below"))
-        pair = open_entries.select("key", "band", F.col("node").alias("x"), F.col("n").alias("a_n"), F.col("alone").alias("a_alone")).join(near, ["key", "band"])
-        pair = pair.withColumns({"b_n": F.col("p.n"), "b_alone": F.col("p.alone")})
-        first = pair.where((F.col("x") != F.col("p.node")) & fits).groupBy("x", "below").agg(F.min("p").alias("p"))
-        return first.select(F.least("x", "p.node").alias("a"), F.greatest("x", "p.node").alias("b")).distinct()
-
-    def undone(links: DataFrame) -> DataFrame:
-        """The entries of keys whose nodes are not all in one component yet, with their components and the number of entries."""
-        comps = components(links, scratch)
-        with_comp = scratch.keep(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        scratch.drop(comps)
-        several = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo != hi").select("key", "m")
-        left = scratch.keep(with_comp.join(several, "key"))
-        scratch.drop(with_comp)
-        return left
-
-    links = scratch.keep(verified(starred(entries, 1), nodes, percent, unpack))
-    left = undone(links)
+    first = scratch.keep(components(verified(star_pairs(entries, percent), nodes, percent, unpack), scratch))
+    # The entries of keys whose nodes are not all in one component yet, with their components and the number of entries.
+    of_key = Window.partitionBy("key")
+    with_comp = entries.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    left = scratch.keep(with_comp.withColumns({"lo": F.min("comp").over(of_key), "hi": F.max("comp").over(of_key), "m": F.count(F.lit(1)).over(of_key)}).where("lo != hi").drop("lo", "hi"))
     few, many = left.where(F.col("m") <= SMALL), left.where(F.col("m") > SMALL)
     x, y = (few.select("key", *(F.col(c).alias(f"{k}_{c}" if c != "node" else k) for c in ("node", "n", "band", "comp", "alone", "at"))) for k in "ab")
     # Of the members before a shared key, none that is alone is shared, nor more than the other has before it.
     possible = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_alone") - F.col("a_at"), F.col("b_n") - F.col("b_alone") - F.col("b_at"))
     likely = (possible >= least) if "place" in nodes_columns else F.lit(True)
     rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & (F.abs(F.col("a_band") - F.col("b_band")) <= 1) & fits & likely)
-    # A pair leaves the tiles for its least key only; a node of several sets (rows that share an id) passes for every key.
-    keyed = given.select("node", "keys").join(many.select("node").distinct(), "node").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("keys").alias("keys"))
-    keyed = keyed.select("node", F.when(F.col("c") == 1, F.col("keys")).otherwise(F.array().cast("array<long>")).alias("keys"))
-    pairs = rest.select("a", "b").union(tiled(many.join(nodes.select("node", "bits"), "node").join(keyed, "node"), percent)).distinct()
-    last = scratch.keep(verified(pairs, nodes, percent, unpack))
-    found = components(links.union(last), scratch)
-    for table in (links, last, left, entries, nodes):
-        scratch.drop(table)
+    # A pair leaves the tiles for its least key only.
+    in_many = many.select("node").distinct()
+    keyed = given.select("node", "keys").join(in_many, "node")
+    bits = nodes.join(in_many, "node")
+    bits = bits.select("node", "bits") if "bits" in nodes.columns else bits.select("node", "members").mapInArrow(with_bits, "node long, bits array<long>")
+    pairs = rest.select("a", "b").union(tiled(many.join(keyed.join(bits, "node"), "node"), percent)).distinct()
+    # What these pairs link are the components so far.
+    last = verified(pairs, nodes, percent, unpack)
+    for end in "ab":
+        last = last.join(first.withColumnsRenamed({"node": end, "comp": f"{end}_comp"}), end, "left").withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp")
+    second = scratch.keep(components(last, scratch))
+    further = second.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+    grown = first.join(further, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+    found = scratch.keep(grown.union(second.join(first.select("node"), "node", "left_anti")))
+    scratch.drop(first, second, left, entries, nodes)
     return found
 
 

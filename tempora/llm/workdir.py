@@ -64,9 +64,9 @@ class Scratch:
         self._paths.append(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete the tables that ``df`` reads; nothing else may read them."""
-        for path in self._read_by(df):
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete what these read; nothing else may read it."""
+        for path in {p for t in tables for p in self._read_by(t)}:
             self._delete(path)
 
     def close(self, *results: DataFrame) -> None:

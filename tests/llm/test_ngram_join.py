@@ -8,7 +8,8 @@ import pytest
 
 from tempora.llm import blocks as B
 from tempora.llm import pairs
-from tempora.llm.op10_ngram_join import ngram_components
+from tempora.llm.op10_ngram_join import keep_one, ngram_components
+from tempora.llm.workdir import Scratch
 
 from .fixtures import documents, texts, words
 
@@ -20,10 +21,10 @@ def shingles(text, size=5):
     return {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
 
 
-def brute(rows):
-    low = lambda i: -(1 << 63) if i is None else i
-    sets = [(low(i), shingles(t)) for i, t in rows]
-    up = {i: i for i, _ in sets}
+def groups(rows):
+    """The group of each row: rows whose sets reach the threshold are linked, ids link nothing."""
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
@@ -32,12 +33,19 @@ def brute(rows):
 
     for a in range(len(sets)):
         for b in range(a):
-            x, y = sets[a][1], sets[b][1]
+            x, y = sets[a], sets[b]
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                p, q = sorted((root(sets[a][0]), root(sets[b][0])))
+                p, q = sorted((root(a), root(b)))
                 up[q] = p
+    return sets, [root(k) for k in range(len(rows))]
+
+
+def brute(rows):
+    low = lambda i: -(1 << 63) if i is None else i
     back = lambda i: None if i == -(1 << 63) else i
-    return sorted(((back(i), len(s), back(root(i))) for i, s in sets), key=str)
+    sets, group = groups(rows)
+    least = {g: min(low(rows[k][0]) for k in range(len(rows)) if group[k] == g) for g in set(group)}
+    return sorted(((rows[k][0], len(sets[k]), back(least[group[k]])) for k in range(len(rows))), key=str)
 
 
 def near_copies(seed, n=120):
@@ -99,3 +107,45 @@ def test_tiles(spark):
             if a % 3 != b % 3 and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 assert (a, b) in got
     assert all(a < b and a % 3 != b % 3 for a, b in got)
+
+
+@pytest.mark.parametrize("one_task", [1, 1 << 16])
+def test_union_find(spark, one_task):
+    """Components of paths in any order of names, stars, cycles and repeated edges, by rounds and by one task."""
+    rng = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(200)] + [(900 - 2 * i, 902 - 2 * i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 80)] + [(3000, 3001), (3001, 3002), (3002, 3000), (4000, 4000)]
+    edges += [tuple(int(x) for x in rng.integers(5000, 5400, 2)) for _ in range(180)]
+    edges += edges[:20]
+    got = {r.node: r.comp for r in pairs.components(spark.createDataFrame(edges, "a long, b long").repartition(5), Scratch(spark), one_task).collect()}
+    nodes, root = pairs.roots(*(np.array(x) for x in zip(*edges, strict=True)))
+    want = dict(zip(nodes.tolist(), root.tolist(), strict=True))
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert set(got) == linked
+    groups_of = lambda f: {frozenset(v for v in linked if f(v) == c) for c in {f(v) for v in linked}}
+    assert groups_of(got.get) == groups_of(lambda v: want.get(v, v))
+    assert all(got[c] == c for c in set(got.values()))
+
+
+def test_keep_one(spark, monkeypatch):
+    """One row of each group stays, that of the least id; rows without an id or with a shared one are rows of their own."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", 3000)
+    rng = random.Random(3)
+    t, u, z = (words(rng, 30) for _ in range(3))
+    rows = [(None, t), (None, u), (5, t), (7, z), (7, None), (None, None), (3, u + " x"), (3, words(rng, 40)), (9, z), (9, z)] + list(enumerate(near_copies(8, 40), 100))
+    docs = documents(spark, rows)
+    got = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    _, group = groups(rows)
+    low = lambda k: -(1 << 63) if rows[k][0] is None else rows[k][0]
+    want = []
+    for g in set(group):
+        own = [k for k in range(len(rows)) if group[k] == g]
+        want.append(sorted((rows[k] for k in own if low(k) == min(map(low, own))), key=str))
+    assert len(got) == len(want)
+    left = list(got)
+    for options in want:
+        assert any(o in left for o in options)
+        left.remove(next(o for o in options if o in left))
+    assert not left
+    assert keep_one(docs).columns == docs.columns
+    with pytest.raises(ValueError):
+        keep_one(docs.withColumn("doc_id", docs.doc_id.cast("string")))
