@@ -242,9 +242,18 @@ def bits_of(keys: np.ndarray, answer: dict[int, bytes], buckets: int, width: int
     return out
 
 
+def bytes_of(keys: np.ndarray, answer: dict[int, bytes], buckets: int) -> np.ndarray:
+    """The answered byte of each key, as a signed number."""
+    out = np.zeros(len(keys), np.int8)
+    at = bounds(keys, buckets)
+    for bucket, body in answer.items():
+        out[at[bucket] : at[bucket + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.int8)
+    return out
+
+
 def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, list[dict[int, bytes]]], Keys], answer: Callable[..., tuple[np.ndarray, ...]], opener: Callable = opened) -> DataFrame:
     """``blocks`` with a column of answers. ``opener`` reads its rows (blocks by default). ``keys`` gives a block's sorted 48-bit keys and columns of
-    values; ``answer`` gets those of all blocks in a bucket, and gives columns of bits."""
+    values; ``answer`` gets those of all blocks in a bucket, and gives columns of bits (read by ``bits_of``) or one of signed bytes (``bytes_of``)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, got in opener(batches, question):
@@ -266,7 +275,7 @@ def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, l
             own = [c[a:b] for c in bits]
             if any(c.any() for c in own):
                 numbers.append(number)
-                bodies.append(zstandard.ZstdCompressor(level=1).compress(b"".join(np.packbits(c).tobytes() for c in own)))
+                bodies.append(zstandard.ZstdCompressor(level=1).compress(b"".join((np.packbits(c) if c.dtype == bool else c).tobytes() for c in own)))
         del got, bits
         K.release()
         return pa.table([pa.array(numbers, pa.int64()), pa.array([key[0].as_py()] * len(numbers), pa.int32()), pa.array(bodies, pa.binary())], ["block", "bucket", "bits"])

@@ -17,13 +17,16 @@ def fold(doc_id: str = "doc_id"):
 
 
 def labelled_ids(labels: DataFrame, label: str, max_rows: int, seed: int) -> DataFrame:
-    """(doc_id, label, fold, order) of at most ``max_rows`` labelled rows outside the held-out fold, chosen by hash of the id over all labels.
+    """(doc_id, label, fold, order) of at most ``max_rows`` labelled ids outside the held-out fold, chosen by hash of the id over all labels.
 
-    Labels that are null or not 0 or 1 are not used."""
+    Labels that are null or not 0 or 1 are not used, nor those of an id that is labelled both ways."""
     return (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"), F.max("label").alias("other"))
+        .where("label = other")
+        .drop("other")
         .withColumn("fold", fold())
         .where(F.col("fold") != HELD_OUT)
         .withColumn("order", F.xxhash64("doc_id", F.lit(seed)))
@@ -33,9 +36,10 @@ def labelled_ids(labels: DataFrame, label: str, max_rows: int, seed: int) -> Dat
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int) -> DataFrame:
-    """(order, fold, label, text) of the rows of ``labelled_ids``.
+    """(order, fold, label, text) of the ids of ``labelled_ids``: one row an id, with the least of its texts.
 
-    The sample has ``max_rows`` rows of an id, an integer and a label at most, so it is broadcast; the texts stay where they are read.
+    The sample has ``max_rows`` rows of an id, an integer and a label at most, so it is broadcast; only its texts move.
     """
     picked = labelled_ids(labels, label, max_rows, seed)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("order", "fold", "label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "order", "fold", "label").agg(F.min("text").alias("text")).select("order", "fold", "label", "text")

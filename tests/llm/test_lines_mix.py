@@ -1,6 +1,7 @@
 """Line dedup, importance resampling, mixing and the pipeline against plain Python."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 
 from tempora.llm import blocks as B
-from tempora.llm.op4_quality_resampling import kth_greatest, quality_sample
+from tempora.llm import op4_quality_resampling as op4
+from tempora.llm.op4_quality_resampling import ResamplingParams, best_floor, kth_greatest, quality_sample, resample
 from tempora.llm.op5_mixing import MixingParams, mix, passes, solve_exponent, weights
 from tempora.llm.op8_line_dedup import SHINGLE, band_keys, dedup_lines, line_digest, line_report, line_shingles
 
@@ -107,7 +109,65 @@ def test_resampling(spark):
     held = [(r.quality, out[r.doc_id].kept) for r in labels.collect() if fold(r.doc_id) == 2]
     assert sum(k for q, k in held if q) >= 0.97 * sum(q for q, _ in held)
     assert sum(not k for q, k in held if not q) >= 0.9 * sum(1 - q for q, _ in held)
-    assert sum(r.selected for r in out.values()) == sum(r.mean_ratio >= -0.3 for r in out.values())
+    few = quality_sample(docs, labels, ResamplingParams(k=25)).where("selected").count()
+    assert few == 25
+
+
+def test_resampling_by_hand(spark, monkeypatch):
+    """Ratios, weights, the floor and the drawn set against counters."""
+    monkeypatch.setattr(op4, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(B, "bucket_count", lambda *_: 3)
+    rows = list(enumerate(texts(4, 60))) + [(7, texts(4, 60)[7]), (None, "x y z"), (100, "the of " * 4000)]
+    docs = documents(spark, rows)
+    rng = random.Random(2)
+    given = [(i, rng.randint(0, 1), 0) for i in range(0, 55)] + [(3, 0, 0), (3, 1, 0), (5, None, 0), (6, 7, 0)]
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    p = ResamplingParams(bits=6, slot_grams=3)
+    both_ways = {i for i, q, _ in given if q in (0, 1) and any(j == i and r == 1 - q for j, r, _ in given)}
+    label = {i: q for i, q, _ in given if q in (0, 1) and i not in both_ways}
+
+    def grams(text, slots):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return Counter(int(x) for x in op4.ngrams(data, np.array([0, len(data)]), slots)[1])
+
+    raw = sum(max(0, 2 * len((t or "").split()) - 1) for _, t in rows)
+    slots = max(1 << p.bits, -(-raw // p.slot_grams))
+    bags = [grams(t, slots) for _, t in rows]
+    total, target = Counter(), Counter()
+    for (i, _), bag in zip(rows, bags, strict=True):
+        total.update(bag)
+        if label.get(i) == 1 and fold(i) in (0, 1):
+            target.update(bag)
+    assert sum(total.values()) == raw
+
+    def ratio(slot):
+        share = total[slot] * sum(target.values()) / raw
+        return round(math.log((target[slot] + p.smooth * share + 0.5) / ((1 + p.smooth) * share + 0.5)) * op4.STEPS) / op4.STEPS
+
+    want = sorted((sum(c * ratio(s) for s, c in bag.items()), sum(c * ratio(s) for s, c in bag.items()) / max(1, sum(bag.values()))) for bag in bags)
+    keyed = op4.weighted(docs.select("doc_id", "text"), labels, p).collect()
+    assert np.array(sorted((r.log_weight, r.mean_ratio) for r in keyed)) == pytest.approx(np.array(want))
+    for k in (1, 10, 40):
+        got = resample(docs, labels, ResamplingParams(bits=6, slot_grams=3, k=k))
+        edge = sorted((r.key for r in keyed), reverse=True)[k - 1]
+        assert sorted(r.mean_ratio for r in got.where("selected").collect()) == pytest.approx(sorted(r.mean_ratio for r in keyed if r.key >= edge))
+    held = {i: q for i, q in label.items() if fold(i) == 3}
+    value = {r.doc_id: r.mean_ratio for r in keyed}
+    floor = best_floor(*(np.array([value[i] for i, q in held.items() if q == y]) for y in (1, 0)), p.good_cost)
+    assert resample(docs, labels, p).where("selected").count() == sum(r.mean_ratio >= floor for r in keyed)
+    assert resample(docs, labels, p).columns == [*docs.columns, "log_weight", "mean_ratio", "selected"]
+    for name in ("key", "selected", "log_weight"):
+        with pytest.raises(ValueError, match="already has"):
+            resample(docs.withColumnRenamed("lang", name), labels)
+    with pytest.raises(ValueError):
+        ResamplingParams(temperature=0.0)
+
+
+def test_floor():
+    good, bad = np.array([1.0, 2.0, 3.0]), np.array([-3.0, -2.0, 1.5])
+    assert best_floor(good, bad, 20.0) == pytest.approx(-0.5)
+    assert best_floor(good, bad, 0.1) == pytest.approx(1.75)
+    assert best_floor(good, bad[:0], 1.0) is None
 
 
 def keys_of(lines):
