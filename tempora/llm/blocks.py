@@ -148,15 +148,15 @@ def id_type(docs: DataFrame) -> pa.DataType:
     return {"byte": pa.int8(), "short": pa.int16(), "integer": pa.int32(), "long": pa.int64()}[kind]
 
 
-def pack(docs: DataFrame, block_bytes: int | None = None, whole_rows: bool = False, index: Index | None = None) -> DataFrame:
+def pack(docs: DataFrame, block_bytes: int | None = None, whole_rows: bool = False, index: Index | None = None, level: int = 3) -> DataFrame:
     """(block, ids, offsets, body, carry, extra, n_bytes), dealt by block and kept in the shared folder.
 
-    ``whole_rows``: all columns travel along, for ``Block.rows``. ``index``: what it makes of the texts is kept, for ``Block.index``."""
+    ``whole_rows``: all columns travel along, for ``Block.rows``. ``index``: what it makes of the texts is kept, for ``Block.index``. ``level``: of compression."""
     block_bytes = block_bytes or BLOCK_BYTES
     id_type(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=3)
+        compressor = zstandard.ZstdCompressor(level=level)
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << TASK_ROWS
         ids, lengths, parts, others, made, rows, size = [], [], [], [], [], 0, 0
@@ -251,9 +251,10 @@ def bytes_of(keys: np.ndarray, answer: dict[int, bytes], buckets: int) -> np.nda
     return out
 
 
-def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, list[dict[int, bytes]]], Keys], answer: Callable[..., tuple[np.ndarray, ...]], opener: Callable = opened) -> DataFrame:
+def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, list[dict[int, bytes]]], Keys], answer: Callable[..., tuple[np.ndarray, ...]], opener: Callable = opened, once: bool = False) -> DataFrame:
     """``blocks`` with a column of answers. ``opener`` reads its rows (blocks by default). ``keys`` gives a block's sorted 48-bit keys and columns of
-    values; ``answer`` gets those of all blocks in a bucket, and gives columns of bits (read by ``bits_of``) or one of signed bytes (``bytes_of``)."""
+    values; ``answer`` gets those of all blocks in a bucket, and gives columns of bits (read by ``bits_of``) or one of signed bytes (``bytes_of``).
+    ``once``: the result is read once only, so the answers are not kept."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, got in opener(batches, question):
@@ -282,7 +283,8 @@ def ask(blocks: DataFrame, question: int, buckets: int, keys: Callable[[Block, l
 
     sent = blocks.mapInArrow(send, "bucket int, block long, body binary")
     answers = sent.groupBy("bucket").applyInArrow(reply, "block long, bucket int, bits binary")
-    each = cut(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"answer{question}")))
+    each = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"answer{question}"))
+    each = each if once else cut(each)
     return blocks.join(each.hint("merge"), "block", "left")
 
 

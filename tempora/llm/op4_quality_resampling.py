@@ -106,7 +106,7 @@ def counted_blocks(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> t
     spark = docs.sparkSession
     picked = labelled_ids(labels, "quality", p.max_labelled_rows, p.seed).where((F.col("label") == 1) & (F.col("fold") != CALIBRATION)).select(F.col("doc_id").cast("long")).toPandas()["doc_id"]
     good = spark.sparkContext.broadcast(np.sort(picked.to_numpy(np.int64)))
-    packed = B.pack(docs, BLOCK_BYTES, whole_rows=True)
+    packed = B.pack(docs, BLOCK_BYTES, whole_rows=True, level=9)
     free_shuffles(spark)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +134,7 @@ def counted_blocks(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> t
     def slot_ratios(key: np.ndarray, raw: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
         return (model.ratios(*(B.totals(key, c).astype(float) for c in (raw, target)), p.smooth),)
 
-    counted = B.ask(packed, 0, buckets, slot_counts, slot_ratios)
-    free_shuffles(spark)
+    counted = B.ask(packed, 0, buckets, slot_counts, slot_ratios, once=True)
     return packed, counted, buckets, model
 
 
