@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +22,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or DEFAULT_DIR
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session with some settings (dots written as __) for what is run inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: What is kept in the shared folder is read from there, so the shuffles that made it are deleted at once.
+DROP_SHUFFLES = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; Spark drops the files with the last reference."""
+    """``df`` computed once and kept in the shared folder."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with settings(df.sparkSession, **DROP_SHUFFLES):
+        return df.select("*").checkpoint(eager=True)
 
 
 def cut_by(df: DataFrame, key: str) -> DataFrame:
@@ -33,13 +54,8 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    name = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
+    with settings(spark, spark__sql__adaptive__enabled="false", **DROP_SHUFFLES):
         return df.repartition(shuffle_partitions(spark), key).checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -60,7 +76,8 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self._root}/{len(self._paths)}"
-        df.write.parquet(path)
+        with settings(self._spark, **DROP_SHUFFLES):
+            df.select("*").write.parquet(path)
         self._paths.append(path)
         return self._spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ import pytest
 from tempora.llm import blocks as B
 from tempora.llm import op4_quality_resampling as op4
 from tempora.llm.op4_quality_resampling import ResamplingParams, best_floor, kth_greatest, quality_sample, resample
-from tempora.llm.op5_mixing import MixingParams, mix, passes, solve_exponent, weights
+from tempora.llm.op5_mixing import MixingParams, mix, mixed, passes, solve_exponent, weights
 from tempora.llm.op8_line_dedup import SHINGLE, band_keys, dedup_lines, line_digest, line_report, line_shingles
 
 from .fixtures import documents, fold, texts, words
@@ -228,6 +228,35 @@ def test_exponent():
     e = solve_exponent(shares, MixingParams(repeat_limit=None, entropy=0.6))
     w = weights(shares, e)
     assert -sum(x * math.log(x) for x in w.values()) / math.log(3) == pytest.approx(0.6, abs=1e-6)
+    # Beyond the shares themselves, and limits that cannot be met.
+    e = solve_exponent(shares, MixingParams(repeat_limit=None, entropy=0.1))
+    w = weights(shares, e)
+    assert e > 1 and -sum(x * math.log(x) for x in w.values()) / math.log(3) == pytest.approx(0.1, abs=1e-6)
+    for bad, what in ((MixingParams(repeat_limit=2.0, budget=5000), shares), (MixingParams(repeat_limit=None, entropy=0.1), {"a": 5, "b": 5}), (MixingParams(repeat_limit=2.0, budget=5000), {"a": 1000})):
+        with pytest.raises(ValueError, match="no exponent"):
+            solve_exponent(what, bad)
+
+
+def test_mixing_repeated_rows(spark):
+    """Fifty equal rows of two tokens: the budget is met, not passed by the whole group."""
+    rows = [(1, "a b", None, "s", None)] * 50 + [(k, "x y z", None, "t", None) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mix(docs, MixingParams(repeat_limit=None, budget=60)).collect()
+    for s in "st":
+        assert abs(sum(len(r.text.split()) for r in out if r.source == s) - 30) <= 3
+
+
+def test_mixed_order(spark):
+    """Files of the mix follow its order, and every part of it has the sources in about the same proportions."""
+    rng = random.Random(4)
+    data = [(i, words(rng, rng.randint(5, 12)), None, rng.choice("aaaab"), None) for i in range(2000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    p = MixingParams(block_tokens=100)
+    want = [r.doc_id for r in mix(docs, p).orderBy("place", "position", "doc_id").collect()]
+    out = mixed(docs, p).collect()
+    assert [r.doc_id for r in out] == want and mixed(docs, p).columns == docs.columns
+    share = [sum(r.source == "b" for r in part) / len(part) for part in (out[: len(out) // 2], out[len(out) // 2 :])]
+    assert abs(share[0] - share[1]) < 0.1
 
 
 @pytest.mark.parametrize("p", [MixingParams(block_tokens=50), MixingParams(repeat_limit=4.0, block_tokens=1 << 20), MixingParams(repeat_limit=2.0, budget=900, block_tokens=40)])
