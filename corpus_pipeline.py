@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm.op3_bpe import round_trip
 from tempora.llm.op4_quality_resampling import resample
-from tempora.llm.op5_mixing import mix
+from tempora.llm.op5_mixing import mixed
 from tempora.llm.op8_line_dedup import dedup_lines
 from tempora.llm.op10_ngram_join import keep_one
 from tempora.llm.workdir import checkpoint_dir
@@ -33,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source passed once at least, small ones up to 1.5 times, by temperature."""
-    return mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    """Every source passed once at least, small ones up to 1.5 times, by temperature; rows in the order of the mix."""
+    return mixed(docs.select(*COLUMNS))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
