@@ -57,10 +57,6 @@ class ResamplingParams:
 STEPS = 12
 
 
-#: Larger than other operators' blocks: the slots that texts share are sent once a block.
-BLOCK_BYTES = 8 << 20
-
-
 def ngrams(data: np.ndarray, offsets: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of every word and every pair of neighbours."""
     starts, ends, first = K.runs(K.NONSPACE[data], offsets)
@@ -99,7 +95,7 @@ def counted_blocks(docs: DataFrame, labels: DataFrame, p: ResamplingParams) -> t
     spark = docs.sparkSession
     picked = labelled_ids(labels, "quality", p.max_labelled_rows, p.seed).where((F.col("label") == 1) & (F.col("fold") != CALIBRATION)).select(F.col("doc_id").cast("long")).toPandas()["doc_id"]
     good = spark.sparkContext.broadcast(np.sort(picked.to_numpy(np.int64)))
-    packed = B.pack(docs, BLOCK_BYTES, whole_rows=True, level=9)
+    packed = B.pack(docs, whole_rows=True, level=9)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in B.opened(batches, 0):

@@ -115,7 +115,7 @@ def test_resampling(spark):
 
 def test_resampling_by_hand(spark, monkeypatch):
     """Ratios, weights, the floor and the drawn set against counters."""
-    monkeypatch.setattr(op4, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(B, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(B, "bucket_count", lambda *_: 3)
     rows = list(enumerate(texts(4, 60))) + [(7, texts(4, 60)[7]), (None, "x y z"), (100, "the of " * 4000)]
     docs = documents(spark, rows)
