@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import series as S
-from . import kernel_ops, replication_ops
-from .registry import query
+from . import kernel_ops, kernel_sql, replication_ops
+from .registry import query, rounded
 
 #: Only these fields of a result, where the whole would be many rows.
 HEAD = ("statistic", "stat", "p_value", "pvalue", "lags", "used_lag", "nobs", "params", "bse", "loglik")
@@ -15,7 +15,7 @@ HEAD = ("statistic", "stat", "p_value", "pvalue", "lags", "used_lag", "nobs", "p
 
 def _months(spark, d):
     w = Window.orderBy("t")
-    m = S.monthly(spark, d).withColumn("_last", F.max("t").over(Window.partitionBy(F.lit(0)))).where("t < _last").drop("_last")  # the last month has two days
+    m = S.monthly(spark, d)
     return m.withColumns({"c": F.lit(1.0), "lag": F.coalesce(F.lag("y").over(w), F.col("y")), "high": (F.col("y") > F.avg("y").over(Window.partitionBy(F.lit(0)))).cast("double"), "z": F.col("n") / 100 + F.sin(F.month("t").cast("double"))})
 
 
@@ -200,9 +200,12 @@ PLAIN = [
 def _register(name, source, columns, time, key, options):
     base = name if name in kernel_ops.KERNELS else next(k for k in sorted(kernel_ops.KERNELS, key=len, reverse=True) if name.startswith(f"{k}_"))
 
-    @query(name)
+    digits, sql = kernel_sql.SQL.get(name, (None, None))
+
+    @query(name, sql)
     def run(spark, d):
-        return kernel_ops.operator(base)(source(spark, d), *columns, time=time, key=key, **options)
+        out = kernel_ops.operator(base)(source(spark, d), *columns, time=time, key=key, **options)
+        return out if digits is None else rounded(out, digits)
 
     run.__name__ = name
 
