@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources import series as S
-from . import kernel_ops, kernel_sql, replication_ops
+from . import kernel_ops, kernel_sql, replication_ops, system_sql
 from .registry import query, rounded
 
 #: Only these fields of a result, where the whole would be many rows.
@@ -200,7 +200,7 @@ PLAIN = [
 def _register(name, source, columns, time, key, options):
     base = name if name in kernel_ops.KERNELS else next(k for k in sorted(kernel_ops.KERNELS, key=len, reverse=True) if name.startswith(f"{k}_"))
 
-    digits, sql = kernel_sql.SQL.get(name, (None, None))
+    digits, sql = (kernel_sql.SQL | system_sql.SQL).get(name, (None, None))
 
     @query(name, sql)
     def run(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import series as S
 from . import moment_ops as M
+from . import sqlkit as Q
 from .registry import query, rounded
 
 #: A keyed series with its row numbers and demeaned values, for lag products in SQL.
@@ -50,7 +51,11 @@ def ljung_box_stat(spark, d):
     return rounded(M.ljung_box(S.type_days(spark, d), "y", "t", ["g"], nlags=8).drop("lb_pvalue", "bp_pvalue"))
 
 
-@query("ljung_box")
+@query(
+    "ljung_box",
+    f"WITH {_autocov(8)}, q AS (SELECT g, n, lag, (v / c0) * (v / c0) AS sq FROM c JOIN z USING (g) WHERE lag > 0), b AS (SELECT g, lag, n * (n + 2) * sum(sq / (n - lag)) OVER w AS lb, n * sum(sq) OVER w AS bp FROM q WINDOW w AS (PARTITION BY g ORDER BY lag)) "
+    f"SELECT g, CAST(lag AS INTEGER) AS lag, round(lb, 6) + 0.0 AS lb_stat, round({Q.chi2_sf('lb', 'lag')}, 6) + 0.0 AS lb_pvalue, round(bp, 6) + 0.0 AS bp_stat, round({Q.chi2_sf('bp', 'lag')}, 6) + 0.0 AS bp_pvalue FROM b",
+)
 def ljung_box(spark, d):
     return rounded(M.ljung_box(S.type_days(spark, d), "y", "t", ["g"], nlags=8))
 
@@ -219,7 +224,16 @@ def dm_test_stat(spark, d):
     return rounded(M.dm_test(e, "e1", "e2", "t", ["g"], h=2).drop("p_value"))
 
 
-@query("dm_test")
+@query(
+    "dm_test",
+    _mean_test_sql(
+        "e1 * e1 - e2 * e2",
+        0,
+        "round(mu / sqrt(lrv / n), 6) + 0.0 AS dm_stat, round(mu / sqrt(lrv / n) * sqrt((n - 1) / n), 6) + 0.0 AS hln_stat, "
+        f"round({Q.t_two_sided('(mu / sqrt(lrv / n) * sqrt((n - 1) / n))', '(n - 1)')}, 6) + 0.0 AS p_value, round(mu, 6) + 0.0 AS mean_loss_diff",
+        uniform=True,
+    ),
+)
 def dm_test(spark, d):
     e = _naive(spark, d).withColumns({"e1": F.col("y") - F.col("f1"), "e2": F.col("y") - F.col("f2")})
     return rounded(M.dm_test(e, "e1", "e2", "t", ["g"]))
@@ -234,7 +248,10 @@ def cw_test_stat(spark, d):
     return rounded(M.cw_test(e, "e2", "e1", "f2", "f1", "t", ["g"], lrv_lags=2).drop("p_value"))
 
 
-@query("cw_test")
+@query(
+    "cw_test",
+    _mean_test_sql("e2 * e2 - e1 * e1 + (f2 - f1) * (f2 - f1)", 0, f"round(mu / sqrt(lrv / n), 6) + 0.0 AS cw_stat, round({Q.norm_sf('(mu / sqrt(lrv / n))')}, 6) + 0.0 AS p_value, round(mu, 6) + 0.0 AS mean_adj_diff"),
+)
 def cw_test(spark, d):
     e = _naive(spark, d).withColumns({"e1": F.col("y") - F.col("f1"), "e2": F.col("y") - F.col("f2")})
     return rounded(M.cw_test(e, "e2", "e1", "f2", "f1", "t", ["g"]))
@@ -246,7 +263,7 @@ def gw_test_stat(spark, d):
     return rounded(M.gw_test(e, "l1", "l2", "t", ["g"], lrv_lags=2).drop("p_value"))
 
 
-@query("gw_test")
+@query("gw_test", _mean_test_sql("abs(e1) - abs(e2)", 2, f"round(n * mu * mu / lrv, 6) + 0.0 AS gw_stat, round({Q.chi2_sf('(n * mu * mu / lrv)', '1')}, 6) + 0.0 AS p_value, 1::INTEGER AS df"))
 def gw_test(spark, d):
     e = _naive(spark, d).withColumns({"l1": F.abs(F.col("y") - F.col("f1")), "l2": F.abs(F.col("y") - F.col("f2"))})
     return rounded(M.gw_test(e, "l1", "l2", "t", ["g"]))

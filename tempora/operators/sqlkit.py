@@ -57,22 +57,24 @@ def least_squares(name: str, source: str, ys: Sequence[str], xs: Sequence[str])
         made = [f"d{i}", *(f"r{i}_{c}" for c in later)]
         out.append(f"{name}_s{i} AS (SELECT *, sum(x{i} * x{i}) {w} AS d{i}, {sums} FROM {name}_{i})")
         out.append(f"{name}_{i + 1} AS (SELECT {', '.join([*keep, *got, f'x{i}', *made])}, {', '.join(f'{c} - r{i}_{c} * x{i} AS {c}' for c in later)} FROM {name}_s{i})")
-    final = []
-    for u in range(m):
-        for i in reversed(range(k)):
-            final.append(" - ".join([f"r{i}_e{u}", *(f"r{i}_x{j} * b{u}_{j}" for j in range(i + 1, k))]) + f" AS b{u}_{i}")
-    for j in range(k):
-        for i in reversed(range(j)):
-            final.append("-(" + " + ".join(f"r{i}_x{q}" + (f" * s{q}_{j}" if q < j else "") for q in range(i + 1, j + 1)) + f") AS s{i}_{j}")
     s = lambda i, j: "1.0" if i == j else f"s{i}_{j}"
-    for i in range(k):
-        final.append(" + ".join(f"{s(i, j)} * x{j} / d{j}" for j in range(i, k)) + f" AS c{i}")
-        for q in range(i, k):
-            final.append(" + ".join(f"{s(i, j)} * {s(q, j)} / d{j}" for j in range(q, k)) + f" AS v{i}_{q}")
+    steps = []
+    for i in reversed(range(k)):
+        own = [" - ".join([f"r{i}_e{u}", *(f"r{i}_x{j} * b{u}_{j}" for j in range(i + 1, k))]) + f" AS b{u}_{i}" for u in range(m)]
+        own += ["-(" + " + ".join(f"r{i}_x{q} * {s(q, j)}" for q in range(i + 1, j + 1)) + f") AS s{i}_{j}" for j in range(i + 1, k)]
+        steps.append(own)
+    final = [" + ".join(f"{s(i, j)} * x{j} / d{j}" for j in range(i, k)) + f" AS c{i}" for i in range(k)]
+    final += [" + ".join(f"{s(i, j)} * {s(q, j)} / d{j}" for j in range(q, k)) + f" AS v{i}_{q}" for i in range(k) for q in range(i, k)]
     final.append(" + ".join(f"x{j} * x{j} / d{j}" for j in range(k)) + " AS h")
     final += [f"sum(e{u} * e{u}) {w} AS ssr{u}" for u in range(m)]
-    out.append(f"{name} AS (SELECT {', '.join(keep)}, {k} AS k, {', '.join(f'e{u}' for u in range(m))}, {', '.join(final)} FROM {name}_{k})")
-    return ", ".join(out)
+    got = [f"b{u}_{i}" for u in range(m) for i in range(k)]
+    return ", ".join([*out, chain(f"{name}_t", f"{name}_{k}", steps), f"{name} AS MATERIALIZED (SELECT {', '.join(keep)}, {k} AS k, {', '.join(f'e{u}' for u in range(m))}, {', '.join(got + final)} FROM {name}_t)"])
+
+
+def chain(name: str, source: str, steps: Sequence[Sequence[str]]) -> str:
+    """CTEs that add columns step by step, each kept: an expression that names another is not written out in full. The last is ``name``."""
+    at = [source, *(f"{name}_{i}" for i in range(len(steps) - 1)), name]
+    return ", ".join(f"{to} AS MATERIALIZED (SELECT *, {', '.join(columns)} FROM {of})" for of, to, columns in zip(at, at[1:], steps, strict=False))
 
 
 #: The default number of lags.
