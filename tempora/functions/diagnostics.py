@@ -221,9 +221,14 @@ def phillips_ouliaris(y: np.ndarray, x: np.ndarray, trend: str = "c", test_type:
 
 
 def zivot_andrews(y: np.ndarray, regression: str = "c", trim: float = 0.15, max_lags: int | None = None, autolag: str | None = "aic", lags: int | None = None) -> dict:
+    """The least t statistic over break dates; the lags are chosen once, without a break (by rule, truncated, where neither they nor a criterion are given)."""
     n = len(y)
+    if not 0 <= trim <= 1 / 3:
+        raise ValueError("trim must be from 0 to 1/3")
     if lags is None:
-        _, lags, _ = adf_fit(y, "ct", autolag, max_lags)
+        lags = adf_fit(y, "ct", autolag, max_lags)[1] if autolag is not None else int(12 * (n / 100) ** 0.25) if max_lags is None else max_lags
+    if lags + 1 > int(n * trim):
+        raise ValueError("too many lags: the first break dates leave no row before them")
     dy = np.diff(y)
     rows = np.arange(lags, len(dy))
     body = np.column_stack([np.ones(len(rows)), rows + 1.0, y[rows]] + [dy[rows - j] for j in range(1, lags + 1)])
@@ -231,7 +236,8 @@ def zivot_andrews(y: np.ndarray, regression: str = "c", trim: float = 0.15, max_
     edge = int(n * trim)
     for b in range(edge + 1, n - edge + 1):
         after = (rows + 2 > b).astype(float)
-        extra = {"c": [after], "t": [after * (rows + 2 - b)], "ct": [after, after * (rows + 2 - b)]}[regression]
+        # Without a shift of the level, the change of slope starts one row earlier.
+        extra = {"c": [after], "t": [np.maximum(rows + 3.0 - b, 0)], "ct": [after, after * (rows + 3 - b)]}[regression]
         x = np.column_stack([body, *extra])
         try:
             coef, u, inv = ols(dy[rows], x)
@@ -241,7 +247,7 @@ def zivot_andrews(y: np.ndarray, regression: str = "c", trim: float = 0.15, max_
         if t < best[0]:
             best = (t, b)
     crit = [float(np.interp(q, T.ZA_PERCENT, T.ZA[regression])) for q in (1, 5, 10)]
-    return {"stat": best[0], "pvalue": T.za_p(best[0], regression), "break_index": best[1] - 1, "lags": lags, "nobs": len(rows), "trim": trim, "regression": regression, **_crit(crit)}
+    return {"stat": best[0], "pvalue": T.za_p(best[0], regression), "break_index": best[1] - 1, "lags": lags, "nobs": n, "trim": trim, "regression": regression, **_crit(crit)}
 
 
 def ndiffs(y: np.ndarray, test: str = "kpss", alpha: float = 0.05, max_d: int = 2) -> dict:

@@ -64,13 +64,31 @@ COINT_CRIT_C = (
 KPSS = {"c": (0.347, 0.463, 0.574, 0.739), "ct": (0.119, 0.146, 0.176, 0.216)}
 KPSS_P = (0.10, 0.05, 0.025, 0.01)
 
-# Quantiles (in percent) of the break-date minimum statistic; between them p is interpolated.
-ZA_PERCENT = (0.001, 0.1, 1.0, 2.5, 5.0, 7.5, 10.0, 15.0, 20.0, 30.0, 40.0, 50.0, 60.0, 70.0, 80.0, 90.0, 95.0, 97.0, 99.0, 99.9)
+# Simulated quantiles (in percent) of the break-date minimum statistic; between them p is interpolated.
+ZA_PERCENT = (
+    0.001, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 2.5, 5.0, 7.5, 10.0, 12.5, 15.0, 17.5, 20.0, 22.5, 25.0, 27.5, 30.0, 32.5, 35.0, 37.5, 40.0,
+    42.5, 45.0, 47.5, 50.0, 52.5, 55.0, 57.5, 60.0, 65.0, 70.0, 75.0, 80.0, 85.0, 90.0, 92.5, 95.0, 96.0, 97.0, 98.0, 99.0, 99.9,
+)
 ZA = {
-    "c": (-6.78442, -5.83192, -5.27644, -5.0334, -4.81067, -4.67636, -4.56618, -4.40507, -4.28155, -4.08586, -3.92078, -3.77031, -3.62126, -3.46848, -3.29112, -3.04165, -2.83179, -2.68624, -2.40044, -1.88932),
-    "t": (-83.9094, -13.8837, -5.03421, -4.65634, -4.4058, -4.25214, -4.13678, -3.95185, -3.81295, -3.59819, -3.41672, -3.25316, -3.09204, -2.92897, -2.73893, -2.49611, -2.3082, -2.19648, -1.99138, -1.67466),
-    "ct": (-38.178, -6.43107, -5.57556, -5.29704, -5.07332, -4.93003, -4.82668, -4.6602, -4.52855, -4.32705, -4.158, -4.00489, -3.85577, -3.69794, -3.52485, -3.28527, -3.08769, -2.96091, -2.71015, -2.28767),
-}
+    "c": (
+        -6.78442, -5.83192, -5.68139, -5.58461, -5.51308, -5.45043, -5.39924, -5.36023, -5.33219, -5.30294, -5.27644, -5.0334, -4.81067, -4.67636, -4.56618,
+        -4.4813, -4.40507, -4.33947, -4.28155, -4.22683, -4.1783, -4.13101, -4.08586, -4.04455, -4.0038, -3.96144, -3.92078, -3.88178, -3.84503, -3.80549,
+        -3.77031, -3.73209, -3.696, -3.65985, -3.62126, -3.5458, -3.46848, -3.38533, -3.29112, -3.17832, -3.04165, -2.95146, -2.83179, -2.76465, -2.68624,
+        -2.57884, -2.40044, -1.88932,
+    ),
+    "t": (
+        -83.9094, -13.8837, -9.13205, -6.32564, -5.60803, -5.38794, -5.26585, -5.18734, -5.12756, -5.07984, -5.03421, -4.65634, -4.4058, -4.25214, -4.13678,
+        -4.03765, -3.95185, -3.87945, -3.81295, -3.75273, -3.69836, -3.64785, -3.59819, -3.55146, -3.50522, -3.45987, -3.41672, -3.37465, -3.33394, -3.29393,
+        -3.25316, -3.21244, -3.17124, -3.13211, -3.09204, -3.01135, -2.92897, -2.83614, -2.73893, -2.6284, -2.49611, -2.41337, -2.3082, -2.25797, -2.19648,
+        -2.1132, -1.99138, -1.67466,
+    ),
+    "ct": (
+        -38.178, -6.43107, -6.07279, -5.95496, -5.86254, -5.77081, -5.72541, -5.68406, -5.65163, -5.60419, -5.57556, -5.29704, -5.07332, -4.93003, -4.82668,
+        -4.73711, -4.6602, -4.5897, -4.52855, -4.471, -4.42011, -4.37387, -4.32705, -4.28126, -4.23793, -4.19822, -4.158, -4.11946, -4.08064, -4.04286,
+        -4.00489, -3.96837, -3.932, -3.89496, -3.85577, -3.77795, -3.69794, -3.61852, -3.52485, -3.41665, -3.28527, -3.19724, -3.08769, -3.03088, -2.96091,
+        -2.85581, -2.71015, -2.28767,
+    ),
+}
 
 
 def poly(coefficients, x: float) -> float:

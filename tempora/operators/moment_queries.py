@@ -263,7 +263,7 @@ def gw_test_stat(spark, d):
     return rounded(M.gw_test(e, "l1", "l2", "t", ["g"], lrv_lags=2).drop("p_value"))
 
 
-@query("gw_test", _mean_test_sql("abs(e1) - abs(e2)", 2, f"round(n * mu * mu / lrv, 6) + 0.0 AS gw_stat, round({Q.chi2_sf('(n * mu * mu / lrv)', '1')}, 6) + 0.0 AS p_value, 1::INTEGER AS df"))
+@query("gw_test", _mean_test_sql("abs(e1) - abs(e2)", 0, f"round(n * mu * mu / lrv, 6) + 0.0 AS gw_stat, round({Q.chi2_sf('(n * mu * mu / lrv)', '1')}, 6) + 0.0 AS p_value, 1::INTEGER AS df"))
 def gw_test(spark, d):
     e = _naive(spark, d).withColumns({"l1": F.abs(F.col("y") - F.col("f1")), "l2": F.abs(F.col("y") - F.col("f2"))})
     return rounded(M.gw_test(e, "l1", "l2", "t", ["g"]))

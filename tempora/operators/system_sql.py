@@ -299,6 +299,25 @@ def _perron() -> str:
     return f"WITH {base}, {lrv}, {one} {Q.fields('r', rows)}"
 
 
+def _adf(top: int = 9) -> str:
+    """Lags by the information criterion on the rows that all lags leave, from the residual sums after each column; then the chosen regression on all its rows."""
+    changes = f"SELECT g, t, y, y - lag(y) OVER w AS d, lag(y) OVER w AS p FROM ({S.TYPE_DAYS}) WINDOW w AS (PARTITION BY g ORDER BY t)"
+    lagged = f"SELECT *, row_number() OVER (PARTITION BY g ORDER BY t) AS nth, {lags('d', top)} FROM ({changes})"
+    names = [f"d_{j}" for j in range(1, top + 1)]
+    parts = [Q.least_squares("c", f"SELECT * FROM ({lagged}) WHERE nth > {top + 1}", ["d"], ["1.0", "p", *names])]
+    for k in range(top + 1):
+        parts.append(f"i{k} AS (SELECT g, {k} AS lag, any_value(n) * (ln(2 * pi()) + ln(sum(e0 * e0) / any_value(n)) + 1) + 2 * {2 + k} AS ic FROM c_{2 + k} GROUP BY g)")
+        parts.append(Q.least_squares(f"f{k}", f"SELECT * FROM ({lagged}) WHERE nth > {k + 1}", ["d"], ["p", *names[:k], "1.0"]))
+        parts.append(f"t{k} AS (SELECT g, {k} AS lag, any_value(b0_0) / sqrt(any_value(v0_0) * any_value(ssr0) / (any_value(n) - any_value(k))) AS z, any_value(n) AS n FROM f{k} GROUP BY g)")
+    union = lambda x: " UNION ALL ".join(f"SELECT * FROM {x}{k}" for k in range(top + 1))
+    star, low, high, small, large, crit = T.MACKINNON["c"]
+    x = f"(CASE WHEN z <= {star!r} THEN {poly(small, 'z')} ELSE {poly(large, 'z')} END)"
+    p = f"CASE WHEN z > {high!r} THEN 1.0 WHEN z < {low!r} THEN 0.0 ELSE {Q.norm_sf("(-x)")} END"
+    one = f"b AS (SELECT g, arg_min(lag, ic) AS lag FROM ({union('i')}) GROUP BY g), r AS (SELECT t.g, t.lag AS lag, z, n, {x} AS x FROM ({union('t')}) t JOIN b ON b.g = t.g AND b.lag = t.lag)"
+    rows = [("statistic", (), "z"), ("p_value", (), p), ("used_lag", (), "lag"), ("nobs", (), "n"), *((f"crit_{c}", (), poly(crit[i], "(1.0 / n)")) for i, c in enumerate((1, 5, 10)))]
+    return f"WITH {', '.join(parts)}, {one} {Q.fields('r', rows, key='g')}"
+
+
 def _pacf_ols(top: int) -> str:
     parts, out = [], []
     for k in range(1, top + 1):
@@ -370,6 +389,7 @@ SQL: dict[str, tuple[int, str]] = {
     "hp_filter": (6, _hp()),
     "afns_adjustment": (6, _afns((0.01, 0.02, 0.03))),
     "phillips_perron": (6, _perron()),
+    "adf": (6, _adf()),
     "pacf": (6, _pacf(8)),
     "pacf_ols": (6, _pacf_ols(6)),
     "predictive_regression": (6, _predictive()),
