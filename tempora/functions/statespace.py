@@ -132,20 +132,21 @@ def arima_fit(y: np.ndarray, p: int = 1, d: int = 0, q: int = 0, seasonal: tuple
     _, s2, (v, f, a, pv, t, qq) = concentrated(mu, ar, ma, sar, sma)
     loglik = -nll - n * math.log(scale)
     k = len(start) + 1
-    params = np.concatenate([[mu * scale] * constant, ar, ma, sar, sma, [s2 * scale**2]])
-    names = ["mean"] * constant + [f"ar{i + 1}" for i in range(p)] + [f"ma{i + 1}" for i in range(q)] + [f"sar{i + 1}" for i in range(bp)] + [f"sma{i + 1}" for i in range(bq)] + ["sigma2"]
+    level = (1 - ar.sum()) * (1 - sar.sum())  # the constant is the intercept: the mean times this
+    params = np.concatenate([[mu * level * scale] * constant, ar, ma, sar, sma, [s2 * scale**2]])
+    names = ["const"] * constant + [f"ar{i + 1}" for i in range(p)] + [f"ma{i + 1}" for i in range(q)] + [f"sar{i + 1}" for i in range(bp)] + [f"sma{i + 1}" for i in range(bq)] + ["sigma2"]
 
     def natural(theta):
         i = int(constant)
         parts = np.split(theta[i:-1], np.cumsum([p, q, bp])[:3])
         phi, th = _seasonal_poly(parts[0], parts[2], s, -1.0), _seasonal_poly(parts[1], parts[3], s, 1.0)
         try:
-            vv, ff, *_ = arma_filter(z - (theta[0] if constant else 0.0), phi, th)
+            vv, ff, *_ = arma_filter(z - (theta[0] / (1 - phi.sum()) if constant else 0.0), phi, th)
         except np.linalg.LinAlgError:
             return 1e10
         return 0.5 * (np.log(2 * math.pi * theta[-1] * np.abs(ff)) + vv**2 / (theta[-1] * ff)).sum()
 
-    unit = np.concatenate([[mu] * constant, ar, ma, sar, sma, [s2]])
+    unit = np.concatenate([[mu * level] * constant, ar, ma, sar, sma, [s2]])
     units = np.concatenate([[scale] * constant, np.ones(p + q + bp + bq), [scale**2]])
     try:
         cov = np.linalg.inv(hessian(natural, unit)) * np.outer(units, units)
