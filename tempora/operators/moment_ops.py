@@ -85,9 +85,13 @@ def lag_weight(kernel: str, j: Column, bandwidth: Column | float) -> Column:
     raise ValueError(f"kernel {kernel!r}: bartlett, parzen or truncated; the quadratic spectral one has no last lag and is a grouped kernel")
 
 
-def long_run_variance(df: DataFrame, y: str, time: str, key: Sequence[str] = (), kernel: str = "bartlett", bandwidth: float | None = None, max_lags: int = 40) -> DataFrame:
-    """(key…, lrv, bandwidth): of the demeaned series, with autocovariances over n."""
-    lags = int(bandwidth) if bandwidth is not None else max_lags
+def long_run_variance(df: DataFrame, y: str, time: str, key: Sequence[str] = (), kernel: str = "bartlett", bandwidth: float | None = None) -> DataFrame:
+    """(key…, lrv, bandwidth): of the demeaned series, with autocovariances over n. Without a bandwidth, rows are counted first, for the lags that the longest series needs."""
+    if bandwidth is None:
+        longest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
+        lags = math.floor(4 * (longest / 100) ** (2 / 9))
+    else:
+        lags = int(bandwidth)
     c = _lag_products(df, y, time, key, lags)
     b = F.lit(float(bandwidth)) if bandwidth is not None else default_bandwidth(F.col("n"))
     r = c.select(*key, "n", b.cast("double").alias("b"), F.posexplode("c").alias("lag", "v"))

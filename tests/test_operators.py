@@ -102,6 +102,43 @@ def test_invariants(seed):
     assert np.allclose(s["seasonal"] + s["trend"] + s["resid"], y)
 
 
+def test_break_date_published_values():
+    """Statistic, p-value, lags and last index before the break, computed elsewhere for the same public series."""
+    for options, want in (
+        ({"regression": "c"}, (-6.859008939051495, 1e-05, 1, 27)),
+        ({"regression": "t"}, (-5.681292678132567, 0.003897907389623101, 1, 43)),
+        ({"regression": "ct"}, (-6.841686495384314, 0.0009871952869007973, 1, 27)),
+    ):
+        r = D.zivot_andrews(NILE, **options)
+        assert (r["stat"], r["pvalue"], r["lags"], r["break_index"]) == (pytest.approx(want[0], rel=1e-9), pytest.approx(want[1], rel=1e-7), *want[2:])
+    with pytest.raises(ValueError, match="lags"):
+        D.zivot_andrews(NILE, lags=20)
+
+
+def test_long_run_variance_has_no_cap(spark):
+    """The default bandwidth of a long series is used whole, and each key has its own."""
+    rng = np.random.default_rng(3)
+    y = np.convolve(rng.standard_normal(3000), np.ones(8) / 8, "valid")
+    df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(y)] + [("b", t, float(v)) for t, v in enumerate(y[:90])], "g string, t int, y double")
+    from tempora.functions.linear import lrv
+
+    got = {r.g: (r.lrv, r.bandwidth) for r in moment_ops.long_run_variance(df, "y", "t", ["g"]).collect()}
+    for g, v in (("a", y), ("b", y[:90])):
+        assert got[g] == (pytest.approx(lrv(v - v.mean())), math.floor(4 * (len(v) / 100) ** (2 / 9)))
+
+
+def test_arima_constant_is_the_intercept():
+    rng = np.random.default_rng(1)
+    y = np.zeros(4000)
+    for t in range(1, 4000):
+        y[t] = 2.0 + 0.6 * y[t - 1] + rng.standard_normal()
+    fit = T.arima_fit(y[500:], 1, 0, 0)
+    assert fit["param_names"][0] == "const" and fit["params"][0] == pytest.approx(2.0, abs=0.2)
+    x = np.column_stack([np.ones(len(y) - 501), y[500:-1]])
+    beta, u, inv = __import__("tempora.functions.linear", fromlist=["ols"]).ols(y[501:], x)
+    assert fit["params"][:2] == pytest.approx(beta, abs=0.02) and fit["bse"][0] == pytest.approx(math.sqrt(inv[0, 0]), rel=0.05)
+
+
 def test_frac_diff_is_inverted(spark):
     rows = [(k, t, float(np.sin(t * (k + 1)))) for k in range(2) for t in range(40)]
     df = spark.createDataFrame(rows, "g int, t int, y double")
