@@ -11,6 +11,7 @@ all pairs of a key's group are made:
    drawn by hash. A node is compared with the first of the pivots of its keys, so many copies of one text all meet one pivot;
 2. what is linked becomes one component (see ``components``); groups that lie in one component are done. Small others are joined with themselves,
    pairs of different components only;
+   Nodes of the largest groups are compared with several more pivots before;
 3. larger ones are dealt into tiles of at most ``TILE`` nodes of a group, and each pair of tiles is one task's: bitmaps of all its nodes are held
    against those of the nodes outside its largest component at once, and only pairs that pass leave it. So no link is lost, whatever the groups look like, and what a
    task holds is bounded.
@@ -36,6 +37,9 @@ BITMAP_LONGS = 32
 #: Groups of more nodes than these are compared in tiles.
 SMALL = 8
 TILE = 1024
+#: Groups of more nodes than these are compared with several pivots first, so many each.
+SPREAD = 64
+PIVOTS = 8
 #: Edges of which one task finds the components.
 ONE_TASK = 1 << 16
 
@@ -230,11 +234,30 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
     least = needed(F.col("a_n"), F.col("b_n"), percent)
     fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (F.least(F.col("a_n") - F.col("a_alone"), F.col("b_n") - F.col("b_alone")) >= least)
 
+    def undone(comps: DataFrame) -> DataFrame:
+        """The entries of keys whose nodes are not all in one component yet, with their components and the number of entries."""
+        of_key = Window.partitionBy("key")
+        with_comp = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return scratch.keep(with_comp.withColumns({"lo": F.min("comp").over(of_key), "hi": F.max("comp").over(of_key), "m": F.count(F.lit(1)).over(of_key)}).where("lo != hi").drop("lo", "hi"))
+
+    def grown(comps: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components with those pairs that reach the threshold; what the pairs link are the components so far."""
+        links = verified(pairs, nodes, percent, unpack)
+        for end in "ab":
+            links = links.join(comps.withColumnsRenamed({"node": end, "comp": f"{end}_comp"}), end, "left").withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp")
+        more = scratch.keep(components(links, scratch))
+        further = more.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
+        old = comps.join(further, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+        new = scratch.keep(old.union(more.join(comps.select("node"), "node", "left_anti")))
+        scratch.drop(comps, more)
+        return new
+
     first = scratch.keep(components(verified(star_pairs(entries, percent), nodes, percent, unpack), scratch))
-    # The entries of keys whose nodes are not all in one component yet, with their components and the number of entries.
-    of_key = Window.partitionBy("key")
-    with_comp = entries.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    left = scratch.keep(with_comp.withColumns({"lo": F.min("comp").over(of_key), "hi": F.max("comp").over(of_key), "m": F.count(F.lit(1)).over(of_key)}).where("lo != hi").drop("lo", "hi"))
+    left = undone(first)
+    if not left.where(F.col("m") > SPREAD).isEmpty():
+        first = grown(first, spread_pairs(left.where(F.col("m") > SPREAD), fits))
+        scratch.drop(left)
+        left = undone(first)
     few, many = left.where(F.col("m") <= SMALL), left.where(F.col("m") > SMALL)
     x, y = (few.select("key", *(F.col(c).alias(f"{k}_{c}" if c != "node" else k) for c in ("node", "n", "band", "comp", "alone", "at"))) for k in "ab")
     # Of the members before a shared key, none that is alone is shared, nor more than the other has before it.
@@ -247,18 +270,23 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
     bits = nodes.join(in_many, "node")
     bits = bits.select("node", "bits") if "bits" in nodes.columns else bits.select("node", "members").mapInArrow(with_bits, "node long, bits array<long>")
     pairs = rest.select("a", "b").union(tiled(many.join(keyed.join(bits, "node"), "node"), percent)).distinct()
-    # What these pairs link are the components so far.
-    last = verified(pairs, nodes, percent, unpack)
-    for end in "ab":
-        last = last.join(first.withColumnsRenamed({"node": end, "comp": f"{end}_comp"}), end, "left").withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp")
-    second = scratch.keep(components(last, scratch))
-    further = second.select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
-    grown = first.join(further, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
-    found = scratch.keep(grown.union(second.join(first.select("node"), "node", "left_anti")))
-    scratch.drop(first, second, left, entries, nodes)
+    found = grown(first, pairs)
+    scratch.drop(left, entries, nodes)
     return found
 
 
+def spread_pairs(entries: DataFrame, fits: Column) -> DataFrame:
+    """(a, b) of each node of large groups with some pivots drawn by hash from its largest group, of other components than its own.
+
+    One pivot may be a copy that is far from the others; several leave few nodes of a group of near copies for the tiles."""
+    largest = entries.groupBy("node").agg(F.max(F.struct("m", "key")).alias("top")).select("node", F.col("top.key").alias("key"))
+    placed = entries.join(largest, ["node", "key"]).groupBy("node", "key").agg(*(F.first(c).alias(c) for c in ("n", "alone", "comp")))
+    drawn = placed.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(2)), "node"))).where(F.col("nth") <= PIVOTS)
+    x, y = (t.select("key", F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "alone", "comp"))) for t, k in ((placed, "a"), (drawn, "b")))
+    pairs = x.join(y, "key").where((F.col("a") != F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def tiled(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in each key's group that their bitmaps and lone members leave possible."""
     tiles = F.ceil(F.col("m") / TILE).cast("int")
