@@ -151,7 +151,7 @@ def linked(packed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     classes = scratch.keep(candidates.groupBy(*equal).agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("blocks")))
     reps = candidates.join(classes.select("node"), F.col("row") == F.col("node")).select("node", F.col("n_shingles").alias("n"), "keys", "place", "block")
     reps = scratch.keep(reps)
-    near = near_components(reps, lambda wanted: sets_of(packed, reps.select("node", "block").join(wanted, "node"), size), percent, scratch)
+    near = near_components(reps, lambda wanted: sets_of(packed, reps.select("node", "block").join(wanted, "node"), size), percent, scratch, best_first=True)
     # Rows of a block take the class of its first row with their set, classes the component of their set.
     in_class = candidates.join(classes.where("blocks > 1").drop("blocks"), equal).select(F.col("row").alias("same"), "node")
     rows = base.where(F.col("set_a").isNotNull()).select("row", "same").join(in_class, "same", "left").select("row", F.coalesce("node", "same").alias("node"))

@@ -11,7 +11,7 @@ all pairs of a key's group are made:
    drawn by hash. A node is compared with the first of the pivots of its keys, so many copies of one text all meet one pivot;
 2. what is linked becomes one component (see ``components``); groups that lie in one component are done. Small others are joined with themselves,
    pairs of different components only;
-   Nodes of the largest groups are compared with several more pivots before;
+   Nodes of large groups can meet their likeliest partners, by bitmaps, before: most of what is left of near copies joins then;
 3. larger ones are dealt into tiles of at most ``TILE`` nodes of a group, and each pair of tiles is one task's: bitmaps of all its nodes are held
    against those of the nodes outside its largest component at once, and only pairs that pass leave it. So no link is lost, whatever the groups look like, and what a
    task holds is bounded.
@@ -37,9 +37,9 @@ BITMAP_LONGS = 32
 #: Groups of more nodes than these are compared in tiles.
 SMALL = 8
 TILE = 1024
-#: Groups of more nodes than these are compared with several pivots first, so many each.
+#: Nodes of groups of more nodes than these can meet so many of their likeliest partners first.
 SPREAD = 64
-PIVOTS = 8
+BEST = 3
 #: Edges of which one task finds the components.
 ONE_TASK = 1 << 16
 
@@ -207,10 +207,10 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return first.select(F.least("x", "p").alias("a"), F.greatest("x", "p").alias("b")).distinct()
 
 
-def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unpack: Unpack = sorted_hashes, shared_keys: bool = False) -> DataFrame:
+def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unpack: Unpack = sorted_hashes, shared_keys: bool = False, best_first: bool = False) -> DataFrame:
     """(node, comp) of every node that is linked with another; see the module's text.
 
-    ``shared_keys``: all keys are known to be shared.
+    ``shared_keys``: all keys are known to be shared. ``best_first``: nodes of large groups meet their likeliest partners before all others.
 
     ``fetch`` gives (node, n, members, and bitmaps as bits where sets are held against those first) for a table of nodes, and ``unpack`` the sorted hashes of some
     members."""
@@ -252,10 +252,15 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
         scratch.drop(comps, more)
         return new
 
+    def bits_of(wanted: DataFrame) -> DataFrame:
+        some = nodes.join(wanted, "node")
+        return some.select("node", "bits") if "bits" in nodes.columns else some.select("node", "members").mapInArrow(with_bits, "node long, bits array<long>")
+
     first = scratch.keep(components(verified(star_pairs(entries, percent), nodes, percent, unpack), scratch))
     left = undone(first)
-    if not left.where(F.col("m") > SPREAD).isEmpty():
-        first = grown(first, spread_pairs(left.where(F.col("m") > SPREAD), fits))
+    if best_first and not (large := left.where(F.col("m") > SPREAD)).isEmpty():
+        top = large.groupBy("node").agg(F.max(F.struct("m", "key")).alias("top")).select("node", F.col("top.key").alias("key"))
+        first = grown(first, tiled(large.join(top, ["node", "key"]).join(bits_of(top.select("node")), "node"), percent, BEST).distinct())
         scratch.drop(left)
         left = undone(first)
     few, many = left.where(F.col("m") <= SMALL), left.where(F.col("m") > SMALL)
@@ -267,46 +272,35 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
     # A pair leaves the tiles for its least key only.
     in_many = many.select("node").distinct()
     keyed = given.select("node", "keys").join(in_many, "node")
-    bits = nodes.join(in_many, "node")
-    bits = bits.select("node", "bits") if "bits" in nodes.columns else bits.select("node", "members").mapInArrow(with_bits, "node long, bits array<long>")
-    pairs = rest.select("a", "b").union(tiled(many.join(keyed.join(bits, "node"), "node"), percent)).distinct()
+    pairs = rest.select("a", "b").union(tiled(many.join(keyed.join(bits_of(in_many), "node"), "node"), percent)).distinct()
     found = grown(first, pairs)
     scratch.drop(left, entries, nodes)
     return found
 
 
-def spread_pairs(entries: DataFrame, fits: Column) -> DataFrame:
-    """(a, b) of each node of large groups with some pivots drawn by hash from its largest group, of other components than its own.
-
-    One pivot may be a copy that is far from the others; several leave few nodes of a group of near copies for the tiles."""
-    largest = entries.groupBy("node").agg(F.max(F.struct("m", "key")).alias("top")).select("node", F.col("top.key").alias("key"))
-    placed = entries.join(largest, ["node", "key"]).groupBy("node", "key").agg(*(F.first(c).alias(c) for c in ("n", "alone", "comp")))
-    drawn = placed.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(2)), "node"))).where(F.col("nth") <= PIVOTS)
-    x, y = (t.select("key", F.col("node").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "alone", "comp"))) for t, k in ((placed, "a"), (drawn, "b")))
-    pairs = x.join(y, "key").where((F.col("a") != F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & fits)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def tiled(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in each key's group that their bitmaps and lone members leave possible."""
+def tiled(entries: DataFrame, percent: int, best: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different components in each key's group that their bitmaps and lone members leave possible; ``best``: of each node only so many with the greatest
+    bounds in a tile."""
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     tile = F.pmod(F.xxhash64("node"), tiles)
     dealt = entries.withColumn("_t", tile).withColumn("_s", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("key", F.least("_t", "_s").cast("int").alias("t"), F.greatest("_t", "_s").cast("int").alias("s"), "node", "n", "alone", "comp", "bits", F.col("_t").cast("int").alias("own"), "keys")
+    dealt = dealt.select("key", F.least("_t", "_s").cast("int").alias("t"), F.greatest("_t", "_s").cast("int").alias("s"), "node", "n", "alone", "comp", "bits", F.col("_t").cast("int").alias("own"), *([] if best else ["keys"]))
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, n, alone, comp, own = (table.column(c).to_numpy() for c in ("node", "n", "alone", "comp", "own"))
         bits = np.array(table.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(-1, BITMAP_LONGS)
         _, place = np.unique(comp, return_inverse=True)
         largest = np.bincount(place).argmax()
-        # Of each node, which of the keys below this one it has.
-        lists = table.column("keys").combine_chunks()
-        flat = lists.flatten().to_numpy()
-        of = np.repeat(np.arange(len(node)), np.asarray(lists.value_lengths()))
-        under = flat < key[0].as_py()
-        below, column = np.unique(flat[under], return_inverse=True)
-        lower = np.zeros((len(node), max(1, len(below))), bool)
-        lower[of[under], column] = True
+        lower = np.zeros((len(node), 1), bool)
+        if not best:
+            # Of each node, which of the keys below this one it has.
+            lists = table.column("keys").combine_chunks()
+            flat = lists.flatten().to_numpy()
+            of = np.repeat(np.arange(len(node)), np.asarray(lists.value_lengths()))
+            under = flat < key[0].as_py()
+            below, column = np.unique(flat[under], return_inverse=True)
+            lower = np.zeros((len(node), max(1, len(below))), bool)
+            lower[of[under], column] = True
         shared, across = n - alone, key[1].as_py() != key[2].as_py()
         a, b = [], []
         for i in np.flatnonzero(place != largest):
@@ -320,7 +314,13 @@ def tiled(entries: DataFrame, percent: int) -> DataFrame:
             least = -(-(n[i] + n[j]) * percent // (100 + percent))
             here = n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1)
             there = n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1)
-            j = j[np.minimum(here, there) >= least]
+            bound = np.minimum(here, there)
+            good = bound >= least
+            if best:
+                j, bound, least = j[good], bound[good], least[good]
+                j = j[np.argsort(least - bound, kind="stable")[:best]]
+            else:
+                j = j[good]
             j = j[~(lower[j] & lower[i]).any(axis=1)]
             a.append(np.minimum(node[i], node[j]))
             b.append(np.maximum(node[i], node[j]))

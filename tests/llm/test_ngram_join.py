@@ -71,7 +71,7 @@ def test_components(spark, monkeypatch, seed, block_bytes, tile):
     monkeypatch.setattr(pairs, "SMALL", 8 if tile > 9 else 2)
     monkeypatch.setattr(pairs, "TILE", tile)
     monkeypatch.setattr(pairs, "SPREAD", 64 if tile > 9 else 3)
-    monkeypatch.setattr(pairs, "PIVOTS", 2)
+    monkeypatch.setattr(pairs, "BEST", 1)
     monkeypatch.setattr(B, "BLOCK_BYTES", block_bytes)
     monkeypatch.setattr(B, "bucket_count", lambda *_: 3)
     rows = list(enumerate(texts(seed, 40) + near_copies(seed)))
