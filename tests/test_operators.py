@@ -232,3 +232,31 @@ def test_factor_queries_take_all_elements(spark):
     queries = registry.registered_queries()
     rows = {name: queries[name](spark, d).where("field = 'loadings'").collect() for name in ("factor_model", "favar")}
     assert {name: len({r.i for r in out}) for name, out in rows.items()} == {"factor_model": size, "favar": size - 1}
+
+
+def test_ssvs_of_nearly_collinear_series(spark):
+    """Counts, averages and their products of many rows: the sampler keeps its digits, and units change nothing."""
+    rng = np.random.default_rng(5)
+    n, a = 110_000 * (1 + 1e-4 * rng.standard_normal(80)), 150 + 1e-4 * rng.standard_normal(80)
+    data = np.column_stack([n * a / 1e3, n, a])
+    got = []
+    for scale in ([1.0, 1.0, 1.0], [2.0**-7, 2.0**-12, 2.0**5]):
+        df = spark.createDataFrame([(t, *map(float, r)) for t, r in enumerate(data * scale)], "t int, y double, n double, a double")
+        out = replication_ops.bvar_ssvs(df, ["y", "n", "a"], "t", n_draws=20, burn=10).collect()
+        assert len(out) == 42 and all(r.value is not None and math.isfinite(r.value) for r in out)
+        got.append({(r.i, r.j): r.value for r in out if r.field == "inclusion_prob"})
+    assert got[0] == got[1]
+
+
+def test_ssvs_coefficients_are_the_posterior_mean():
+    rng = np.random.default_rng(2)
+    z, p, d = rng.standard_normal((30, 3)), np.tril(rng.standard_normal((2, 2))), rng.random((3, 2))
+    y = rng.standard_normal((30, 2))
+    r = np.linalg.qr(z, mode="r")
+    b = np.linalg.lstsq(z, y, rcond=None)[0]
+    big = np.kron(p @ p.T, z.T @ z) + np.diag(1 / d.T.ravel())
+    mean = np.linalg.solve(big, (z.T @ y @ p @ p.T).T.ravel()).reshape(2, 3).T
+    draw = lambda e: replication_ops.ssvs_coefficients(r, r @ b, p, d, e)
+    assert np.allclose(draw(np.zeros(6)), mean)
+    half = np.array([(draw(e) - mean).T.ravel() for e in np.eye(6)])
+    assert np.allclose(half.T @ half, np.linalg.inv(big))
