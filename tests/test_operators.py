@@ -260,3 +260,18 @@ def test_ssvs_coefficients_are_the_posterior_mean():
     assert np.allclose(draw(np.zeros(6)), mean)
     half = np.array([(draw(e) - mean).T.ravel() for e in np.eye(6)])
     assert np.allclose(half.T @ half, np.linalg.inv(big))
+
+
+def test_reset_of_a_fit_that_varies_little():
+    """Powers of such a fit are collinear in floating point; the statistic does not change when the series moves by a constant."""
+    rng = np.random.default_rng(11)
+    x = np.column_stack([np.ones(400), 1e-3 * rng.standard_normal((400, 2))])
+    line = x @ np.array([0.0, 1.0, 2.0])
+    y = line + 20 * line**2 + 1e-4 * rng.standard_normal(400)
+    want = R.reset_test(y, x)
+    assert want["fstat"] > 5
+    for shift in (1.0, 35.0):
+        assert R.reset_test(y + shift, x)["fstat"] == pytest.approx(want["fstat"], rel=1e-6)
+    b, u, _ = __import__("tempora.functions.linear", fromlist=["ols"]).ols(y, x)
+    plain = R.rss(y, np.column_stack([x, ((y - u) * 1e3) ** 2, ((y - u) * 1e3) ** 3]))
+    assert want["fstat"] == pytest.approx((u @ u - plain) / 2 / (plain / 395), rel=1e-6)
