@@ -275,3 +275,22 @@ def test_reset_of_a_fit_that_varies_little():
     b, u, _ = __import__("tempora.functions.linear", fromlist=["ols"]).ols(y, x)
     plain = R.rss(y, np.column_stack([x, ((y - u) * 1e3) ** 2, ((y - u) * 1e3) ** 3]))
     assert want["fstat"] == pytest.approx((u @ u - plain) / 2 / (plain / 395), rel=1e-6)
+
+
+def test_var_backtest_without_violations(spark, tmp_path):
+    """Days of nearly equal revenue: no return is a violation, and the query says what its SQL says."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT TIMESTAMP '2000-01-01' + to_days(i::INT) AS l_shipdate, 100.0::DOUBLE + i % 7 AS l_extendedprice, 0.0::DOUBLE AS l_discount FROM range(800) r(i)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    out = registry.registered_queries()["var_backtest"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(out.columns)} FROM ({registry.registered_sql()['var_backtest']})").fetchall()
+    assert sorted(tuple(map(repr, r)) for r in out.collect()) == sorted(tuple(map(repr, r)) for r in want)
+    r = G.var_backtest(np.zeros(100))
+    assert (r["lr_uc"], r["lr_ind"], r["p_ind"], r["n00"]) == (pytest.approx(-200 * math.log(0.95)), 0, 1, 99)
+    assert math.isnan(r["dq"]) and r["p_dq"] == pytest.approx(S.chi2_sf(96 * 0.05 / 0.95, 1))
+    r = G.var_backtest(np.ones(100))
+    assert (r["lr_uc"], r["n11"], r["lr_ind"]) == (pytest.approx(-200 * math.log(0.05)), 99, 0) and math.isnan(r["dq"])
+    r = G.var_backtest(np.eye(100)[99])
+    assert math.isnan(r["dq"]) and math.isfinite(r["p_dq"])
+    with pytest.raises(ValueError, match="too few"):
+        G.var_backtest(np.zeros(10))
