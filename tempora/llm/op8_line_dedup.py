@@ -17,7 +17,7 @@ copy that comes first keeps its lines (rows that share an id: one of them). A mi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +38,17 @@ FILL_ORDER = np.argsort(np.random.Generator(np.random.Philox(8)).random((BANDS *
 
 def line_index(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, start, length, number in the text, hash) of the lines with a word of a slice."""
-    breaks = data == 0x0A
-    starts, ends, first = K.runs(~breaks, offsets)
-    solid = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(K.NONSPACE[data], out=solid[1:])
-    at = np.flatnonzero(breaks)
-    text = K.owners(first)
-    worded = solid[ends] > solid[starts]
-    starts, ends, text = starts[worded], ends[worded], text[worded]
+    at = np.flatnonzero(data == 0x0A)
+    starts, ends = np.sort(np.concatenate([offsets[:-1], at + 1])), np.sort(np.concatenate([at, offsets[1:]]))
+    some = ends > starts
+    starts, ends = starts[some], ends[some]
+    worded = K.NONSPACE[data[starts]]
+    for i in np.flatnonzero(~worded):
+        worded[i] = K.NONSPACE[data[starts[i] : ends[i]]].any()
+    starts, ends = starts[worded], ends[worded]
+    text = np.searchsorted(offsets, starts, "right") - 1
     number = np.searchsorted(at, starts) - np.searchsorted(at, offsets)[text]
-    return text, starts, ends - starts, number, K.RangeHash(data)(starts, ends)
+    return text, starts, ends - starts, number, K.hashes_in_order(data, starts, ends)
 
 
 class Lines:
@@ -88,23 +89,26 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     code += np.uint64(1)
     code *= np.uint64(0x9E3779B97F4A7C15)
     code ^= code >> np.uint64(32)
-    before = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(K.LEAD[data], out=before[1:])
-    first, last = before[starts].astype(np.int64), before[ends].astype(np.int64) - SHINGLE
+    if len(code) == len(data):
+        first, last = starts, ends - SHINGLE
+    else:
+        before = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(K.LEAD[data], out=before[1:])
+        first, last = before[starts].astype(np.int64), before[ends].astype(np.int64) - SHINGLE
     rolled, width, factor = code, 1, 0xD1342543DE82EF95
     while width < SHINGLE:
-        rolled = rolled[:-width] * np.uint64(factor) + rolled[width:] if len(rolled) > width else rolled[:0]
-        width, factor = 2 * width, factor * factor % (1 << 64)
+        longer = rolled[:-width] * np.uint64(factor)
+        longer += rolled[width:][: len(longer)]
+        rolled, width, factor = longer, 2 * width, factor * factor % (1 << 64)
     whole = np.flatnonzero(last >= first)
     made = last[whole] - first[whole] + 1
-    at = np.arange(made.sum()) + np.repeat(first[whole] - np.cumsum(made) + made, made)
     short = np.flatnonzero(last < first)
     chars = last[short] + SHINGLE - first[short]
     value = chars.astype(np.uint64)
     for step in range(SHINGLE - 1):
         more = chars > step
         value[more] = K.mix(value[more] + code[first[short[more]] + step])
-    h = rolled[at]
+    h = np.concatenate([rolled[:0], *(rolled[a : a + n] for a, n in zip(first[whole].tolist(), made.tolist(), strict=True))])
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -157,16 +161,17 @@ def owned_bands(lines: Lines, own: np.ndarray) -> np.ndarray:
 
 
 def owned_slices(lines: Lines, own: np.ndarray) -> Iterator[tuple]:
-    """(which of ``own``, bytes, starts, ends) by slices of the block; bytes are those of the lines alone where they are a small part."""
-    for row, data, offsets in lines.block.slices():
-        base = lines.block.offsets[row]
-        pick = np.flatnonzero((lines.start[own] >= base) & (lines.start[own] < base + len(data)))
-        if len(pick):
-            starts, ends = lines.start[own[pick]] - base, lines.end[own[pick]] - base
-            if 2 * (ends - starts).sum() < len(data):
-                data = np.concatenate([data[a:b] for a, b in zip(starts, ends, strict=True)])
-                starts, ends = np.cumsum(ends - starts) - (ends - starts), np.cumsum(ends - starts)
-            yield pick, data, starts, ends
+    """(which of ``own``, bytes, starts, ends) of stretches of the block, small enough for a processor's cache but for one longer line; bytes are those of the
+    lines alone where they are a small part."""
+    by_start = np.argsort(lines.start[own])
+    begin, end = lines.start[own[by_start]], lines.end[own[by_start]]
+    for a, b in K.stretches(begin, end):
+        base, pick = begin[a], by_start[a:b]
+        data, starts, ends = lines.block.data[base : end[b - 1]], begin[a:b] - base, end[a:b] - base
+        if 2 * (ends - starts).sum() < len(data):
+            data = np.concatenate([data[x:y] for x, y in zip(starts, ends, strict=True)])
+            starts, ends = np.cumsum(ends - starts) - (ends - starts), np.cumsum(ends - starts)
+        yield pick, data, starts, ends
 
 
 class BandRow:
@@ -175,6 +180,21 @@ class BandRow:
     def __init__(self, number: int, own: bytes, keys: bytes):
         self.number, self.own, self.keys = number, np.frombuffer(own, np.int32), B.decode_keys(keys, BANDS)
 
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct keys, and in how many lines each is; a line has no key twice, as a key knows its band."""
+        keys = np.sort(self.keys, axis=None)
+        starts = B.group_starts(keys)
+        return keys[starts], np.diff(np.append(starts, len(keys))).astype(np.uint64)
+
+    def spread(self, answered: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """What is answered for the sorted distinct keys, at each key's places."""
+        flat = self.keys.ravel()
+        order = np.argsort(flat)
+        starts = B.group_starts(flat[order])
+        out = np.zeros(len(flat), np.int64)
+        out[order] = np.repeat(answered(flat[order[starts]]), np.diff(np.append(starts, len(flat))))
+        return out.reshape(self.keys.shape)
+
     @classmethod
     def opened(cls, batches: Iterator[pa.RecordBatch], answers: int) -> Iterator[tuple]:
         for batch in batches:
@@ -205,14 +225,11 @@ def judged_lines(docs: DataFrame, whole_rows: bool = False):
             yield pa.record_batch([pa.array([block.number]), pa.array([own.astype(np.int32).tobytes()], pa.binary()), pa.array([B.encode_keys(owned_bands(lines, own))], pa.binary())], ["block", "own", "keys"])
 
     # Signatures are made once; what is kept of them are the band keys.
-    bands = B.ask(cut(asked.mapInArrow(compute, "block long, own binary, keys binary")), 0, buckets, lambda row, _: B.counted(row.keys.ravel(), np.repeat(np.arange(len(row.keys)), BANDS)), B.class_answer, opener=BandRow.opened)
+    bands = B.ask(cut(asked.mapInArrow(compute, "block long, own binary, keys binary")), 0, buckets, lambda row, _: row.counts(), B.class_answer, opener=BandRow.opened)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, got in BandRow.opened(batches, 1):
-            sent = np.unique(row.keys)
-            bits = B.bits_of(sent, got[0], buckets, B.CLASS_BITS)
-            classes = sum(c.astype(np.int64) << k for k, c in enumerate(bits)) if len(sent) else np.zeros(0, np.int64)
-            own = classes[np.searchsorted(sent, row.keys)] if len(sent) else np.zeros(row.keys.shape, np.int64)
+            own = row.spread(lambda sent: sum(c.astype(np.int64) << k for k, c in enumerate(B.bits_of(sent, got[0], buckets, B.CLASS_BITS))))  # noqa: B023
             chosen = (own > 0).any(axis=1)
             some = own[chosen] > 0
             yield pa.record_batch(
@@ -280,16 +297,15 @@ def each_judged(batches: Iterator[pa.RecordBatch], judge) -> Iterator[tuple[B.Bl
             yield block, *judge(block, got, own)
 
 
-def without(block: B.Block, lines: Lines, goes: np.ndarray) -> list[bytes]:
+def without(block: B.Block, lines: Lines, goes: np.ndarray) -> pa.Array:
     """The texts without some lines and their line ends."""
-    gone = np.zeros(len(block.data) + 1, np.int32)
     start, end, text = lines.start[goes], lines.end[goes], lines.text[goes]
-    np.add.at(gone, start, 1)
-    np.add.at(gone, end, -1)
-    mask = np.cumsum(gone[:-1]) > 0
-    after = end < block.offsets[text + 1]
-    mask[end[after]] = True
-    return [block.data[a:b][~mask[a:b]].tobytes() for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
+    end = end + (end < block.offsets[text + 1])
+    length = np.diff(block.offsets)
+    np.subtract.at(length, text, end - start)
+    stays = zip([0, *end.tolist()], [*start.tolist(), len(block.data)], strict=True)
+    left = np.concatenate([block.data[:0], *(block.data[a:b] for a, b in stays if a < b)])
+    return pa.Array.from_buffers(pa.string(), len(length), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.py_buffer(left)])
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -300,9 +316,8 @@ def line_report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, lines, goes in each_judged(batches, judge):
             n = len(block.ids)
-            left = [x.decode() for x in without(block, lines, goes)]
             yield pa.record_batch(
-                [block.id_column(id_type), pa.array(np.bincount(lines.text, minlength=n)), pa.array(np.bincount(lines.text[goes], minlength=n)), pa.array(left, pa.string())],
+                [block.id_column(id_type), pa.array(np.bincount(lines.text, minlength=n)), pa.array(np.bincount(lines.text[goes], minlength=n)), without(block, lines, goes)],
                 ["doc_id", "n_lines", "n_removed", "text"],
             )
 
@@ -322,7 +337,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
         for block, lines, goes in each_judged(batches, judge):
             n = len(block.ids)
             removed = np.bincount(lines.text[goes], minlength=n)
-            left = pa.array([x.decode() for x in without(block, lines, goes)], pa.string())
+            left = without(block, lines, goes)
             emptied = (removed > 0) & (removed == np.bincount(lines.text, minlength=n))
             yield block.rows(~(emptied & drop_emptied), left)
 

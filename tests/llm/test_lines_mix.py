@@ -305,3 +305,45 @@ def test_pipeline(spark):
     assert Counter((r.doc_id, r.decoded_sha256) for r in out) == body
     assert {r.doc_id for r in out} <= {r.doc_id for r in first}
     assert public_tokenizers.PATTERN
+
+
+def test_lines_are_found_hashed_and_cut_as_plain_python_does():
+    from tempora.llm import op8_line_dedup as op8
+    from tempora.llm import textkern as K
+
+    rng = random.Random(4)
+    some = ["", "\n", " \n a", "a\n", "é\né\n", "  \t\n  b\n\n", "x" * 300_000, "日本語\n短\n" + "長い" * 90_000, "a\n\r\n  \n b"]
+    some += ["\n".join("".join(rng.choice("abc é") for _ in range(rng.randint(0, 400))) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    raw = [t.encode() for t in some]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    text, start, length, number, key = op8.line_index(data, offsets)
+    want = [(i, k, x) for i, t in enumerate(raw) for k, x in enumerate(t.split(b"\n")) if x.strip(b" \t\n\v\f\r")]
+    assert [(t, k, data[s : s + n].tobytes()) for t, k, s, n in zip(text, number, start, length, strict=True)] == want
+    assert np.array_equal(key, K.RangeHash(data)(start, start + length))
+    block = B.Block.__new__(B.Block)
+    block.number, block.ids, block.offsets, block.data = 0, np.arange(len(raw)), offsets, data
+    block.index = lambda: [c.astype(np.uint64) for c in (start, text, length, number, key)]
+    lines = op8.Lines(block)
+    own = np.arange(len(start))
+    parts = [(len(d), e - s) for _, d, s, e in op8.owned_slices(lines, own)]
+    assert sum(len(n) for _, n in parts) == len(own) and all(size <= K.CACHE_BYTES or len(n) == 1 for size, n in parts)
+    plain = band_keys(*line_shingles(data, lines.start, lines.end), len(own)) >> np.uint64(16)
+    assert np.array_equal(op8.owned_bands(lines, own), plain)
+    goes = np.array([rng.random() < 0.4 for _ in want])
+    gone = {(i, k) for (i, k, _), g in zip(want, goes, strict=True) if g}
+    left = [b"".join(x for k, x in enumerate(t.splitlines(True) if b"\r" not in t else [y + b"\n" for y in t.split(b"\n")[:-1]] + [t.split(b"\n")[-1]]) if (i, k) not in gone) for i, t in enumerate(raw)]
+    out = op8.without(block, lines, goes)
+    out.validate(full=True)
+    assert [x.encode() for x in out.to_pylist()] == left
+
+
+def test_band_counts_and_answers_by_one_sort():
+    from tempora.llm import op8_line_dedup as op8
+
+    keys = np.random.default_rng(0).integers(0, 50, (40, op8.BANDS)).astype(np.uint64) * np.uint64(16) + np.arange(op8.BANDS, dtype=np.uint64)
+    row = op8.BandRow(0, np.arange(40, dtype=np.int32).tobytes(), B.encode_keys(keys))
+    for got, want in zip(row.counts(), B.counted(keys.ravel(), np.repeat(np.arange(40), op8.BANDS)), strict=True):
+        assert np.array_equal(got, want)
+    assert np.array_equal(row.spread(lambda sent: (sent * np.uint64(3)).astype(np.int64)), keys.astype(np.int64) * 3)
+    none = op8.BandRow(0, b"", b"")
+    assert len(none.counts()[0]) == 0 and none.spread(lambda sent: np.zeros(len(sent), np.int64)).shape == (0, op8.BANDS)
