@@ -89,12 +89,9 @@ def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     code += np.uint64(1)
     code *= np.uint64(0x9E3779B97F4A7C15)
     code ^= code >> np.uint64(32)
-    if len(code) == len(data):
-        first, last = starts, ends - SHINGLE
-    else:
-        before = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(K.LEAD[data], out=before[1:])
-        first, last = before[starts].astype(np.int64), before[ends].astype(np.int64) - SHINGLE
+    # A character's place is its byte's, less the later bytes of characters before it.
+    later = np.flatnonzero((data & 0xC0) == 0x80)
+    first, last = starts - np.searchsorted(later, starts), ends - np.searchsorted(later, ends) - SHINGLE
     rolled, width, factor = code, 1, 0xD1342543DE82EF95
     while width < SHINGLE:
         longer = rolled[:-width] * np.uint64(factor)
@@ -151,6 +148,20 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
     return np.split(shingle, np.searchsorted(line, np.arange(1, len(lines))))
 
 
+def set_sizes(line: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """How many different shingles each of n lines has: all of them, but for lines with two that begin with the same bits, which are counted whole."""
+    size = np.bincount(line, minlength=n)
+    bits = max(1, (n - 1).bit_length())
+    seen = np.sort(line.astype(np.uint64) << np.uint64(64 - bits) | shingle >> np.uint64(bits))
+    again = np.zeros(n, bool)
+    again[(seen[1:][seen[1:] == seen[:-1]] >> np.uint64(64 - bits)).astype(np.int64)] = True
+    part = again[line]
+    line, shingle = line[part], shingle[part]
+    order = K.order_within(line, shingle)
+    size[again] = np.bincount(line[order][B.group_starts(line[order], shingle[order])], minlength=n)[again]
+    return size
+
+
 def owned_bands(lines: Lines, own: np.ndarray) -> np.ndarray:
     """The 48-bit band keys of some lines of a block."""
     out = np.zeros((len(own), BANDS), np.uint64)
@@ -251,15 +262,13 @@ def judged_lines(docs: DataFrame, whole_rows: bool = False):
                 odd = BANDS * ((1 << B.CLASS_BITS) - 1) - np.frombuffer(often, np.int16)
                 for pick, data, starts, ends in owned_slices(lines, own):
                     line, shingle = line_shingles(data, starts, ends)
-                    order = K.order_within(line, shingle)
-                    size = np.bincount(line[order][B.group_starts(line[order], shingle[order])], minlength=len(pick))
-                    at = own[pick]
+                    at, has = own[pick], some[pick]
                     yield pa.record_batch(
                         [
                             pa.array(lines.hash[at].view(np.int64)),
-                            pa.array(size),
+                            pa.array(set_sizes(line, shingle, len(pick))),
                             pa.array([data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                            pa.array([k[s].view(np.int64) for k, s in zip(keys[pick], some[pick], strict=True)], pa.list_(pa.int64())),
+                            pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(has.sum(axis=1))), pa.int32()), pa.array(keys[pick][has].view(np.int64))),
                             pa.array(odd[pick].astype(np.int32)),
                             pa.array((lines.rank[at] ^ np.uint64(1 << 63)).view(np.int64)),
                             pa.array(lines.number[at]),

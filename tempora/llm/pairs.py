@@ -210,7 +210,7 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
 def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, unpack: Unpack = sorted_hashes, shared_keys: bool = False, best_first: bool = False) -> DataFrame:
     """(node, comp) of every node that is linked with another; see the module's text.
 
-    ``shared_keys``: all keys are known to be shared. ``best_first``: nodes of large groups meet their likeliest partners before all others.
+    ``shared_keys``: all keys are known to be shared, so ``fetch`` need not be told of nodes, and what it gives is kept already. ``best_first``: nodes of large groups meet their likeliest partners before all others.
 
     ``fetch`` gives (node, n, members, and bitmaps as bits where sets are held against those first) for a table of nodes, and ``unpack`` the sorted hashes of some
     members."""
@@ -229,7 +229,8 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
         met = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
         entries = entries.join(met, "key")
     entries = scratch.keep(entries)
-    nodes = scratch.keep(fetch(entries.select("node").distinct()))
+    fetched = fetch(entries.select("node").distinct())
+    nodes = fetched if shared_keys else scratch.keep(fetched)
     # Members that one set has alone are in no overlap.
     least = needed(F.col("a_n"), F.col("b_n"), percent)
     fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (F.least(F.col("a_n") - F.col("a_alone"), F.col("b_n") - F.col("b_alone")) >= least)
@@ -274,7 +275,7 @@ def near_components(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], p
     keyed = given.select("node", "keys").join(in_many, "node")
     pairs = rest.select("a", "b").union(tiled(many.join(keyed.join(bits_of(in_many), "node"), "node"), percent)).distinct()
     found = grown(first, pairs)
-    scratch.drop(left, entries, nodes)
+    scratch.drop(left, entries, *([] if shared_keys else [nodes]))
     return found
 
 

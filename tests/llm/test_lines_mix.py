@@ -347,3 +347,17 @@ def test_band_counts_and_answers_by_one_sort():
     assert np.array_equal(row.spread(lambda sent: (sent * np.uint64(3)).astype(np.int64)), keys.astype(np.int64) * 3)
     none = op8.BandRow(0, b"", b"")
     assert len(none.counts()[0]) == 0 and none.spread(lambda sent: np.zeros(len(sent), np.int64)).shape == (0, op8.BANDS)
+
+
+def test_set_sizes_count_different_shingles():
+    from tempora.llm.op8_line_dedup import set_sizes
+
+    rng = random.Random(9)
+    lines = ["abcabcabc" * rng.randint(1, 30) if rng.random() < 0.3 else "".join(rng.choice("abé日") for _ in range(rng.randint(1, 80))) for _ in range(3000)]
+    data = [x.encode() for x in lines]
+    ends = np.cumsum([len(x) for x in data])
+    line, shingle = line_shingles(np.frombuffer(b"".join(data), np.uint8), ends - [len(x) for x in data], ends)
+    assert set_sizes(line, shingle, len(lines)).tolist() == [len(shingles(x)) for x in lines]
+    # The same first bits, and not the same shingle.
+    assert set_sizes(np.array([0, 0, 1, 1]), np.array([1 << 40, 1 << 40 | 1, 6, 6], np.uint64), 2).tolist() == [2, 1]
+    assert len(set_sizes(np.zeros(0, np.int64), np.zeros(0, np.uint64), 0)) == 0
